@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from terrane.plans import general
+
 FLAGSHIP = "way_geometry_stats"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = {**general.QUERIES}
+SQL: dict[str, str] = {**general.SQL}
