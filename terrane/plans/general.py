@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
-from terrane.operators import proximity, versions
-from terrane.session import load
+from pyspark.sql import functions as F
+
+from terrane.operators import orphans, proximity, versions
+from terrane.session import load, materialize
+
+ORPHAN_BATCHES = 2
+
+
+def _elements(spark, d):
+    return {kind: load(spark, d, t) for kind, t in enumerate(("nodes", "ways", "relations"))}
+
+
+def p1_found(spark, d):
+    return orphans.orphans(orphans.replay(_elements(spark, d), ORPHAN_BATCHES)).select("kind", "id", "pos", "ref")
+
+
+def p1_report(spark, d):
+    return orphans.report(orphans.replay(_elements(spark, d), ORPHAN_BATCHES))
+
+
+def p1_snapshots(spark, d):
+    """The report after each batch: how many references were orphans by then."""
+    taken = []
+    orphans.replay(_elements(spark, d), 4, lambda i, state: taken.append(materialize(orphans.report(state).select(F.lit(i).alias("snapshot"), "*"))))
+    out = taken[0]
+    for x in taken[1:]:
+        out = out.unionAll(x)
+    return out
 
 
 def p5_found(spark, d):
     return proximity.pairs_within(versions.current(load(spark, d, "nodes"), ["lat", "lon"]), 10.0)
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p5_found)}
 
 _CURRENT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST) AS rn FROM {t}) WHERE rn = 1 AND coalesce(visible, true)"""
 
+_P1 = f"""WITH c AS (SELECT 1 AS kind, w.id, w.ts, 0 AS type, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos FROM ({_CURRENT.format(t="ways")}) w
+  UNION ALL SELECT 2, id, ts, m.type, m.ref, pos FROM (SELECT id, ts, unnest(members) AS m, generate_subscripts(members, 1) - 1 AS pos FROM ({_CURRENT.format(t="relations")}))),
+e AS (SELECT 0 AS kind, id, version, visible, loaded_at FROM nodes UNION ALL SELECT 1, id, version, visible, loaded_at FROM ways UNION ALL SELECT 2, id, version, visible, loaded_at FROM relations),
+t AS (SELECT kind, id, min(loaded_at) AS first_at, arg_max(coalesce(visible, true), version) AS live, max(version) AS version FROM e GROUP BY kind, id),
+s AS (SELECT e.kind, e.id, min(loaded_at) AS since FROM e JOIN t ON e.kind = t.kind AND e.id = t.id AND e.version = t.version GROUP BY e.kind, e.id),
+o AS (SELECT c.* FROM c JOIN s USING (kind, id) LEFT JOIN t ON t.kind = c.type AND t.id = c.ref
+  WHERE c.type IS NOT NULL AND c.ref IS NOT NULL AND (t.id IS NULL OR NOT t.live OR t.first_at > s.since)) """
+
 SQL = {
+    "p1_found": _P1 + "SELECT kind, id, pos, ref FROM o",
+    "p1_report": _P1 + "SELECT kind, type, strftime(ts, '%Y-%m') AS month, count(*) AS n_refs FROM o GROUP BY ALL",
     "p5_found": f"""WITH p AS MATERIALIZED (SELECT id, lat, lon, floor((lat + 90) * 8000)::BIGINT AS s, floor((lon + 180) * 20)::BIGINT % 7200 AS c FROM ({_CURRENT.format(t="nodes")})
   WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon) AND NOT (lat = 0 AND lon = 0)),
 q AS (SELECT id, lat, lon, s + ds AS s, (c + dc + 7200) % 7200 AS c FROM p, (VALUES (-1), (0), (1)) a(ds), (VALUES (-1), (0), (1)) b(dc))
