@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import orphans, proximity, versions
+from terrane.operators import hierarchy, orphans, proximity, versions
 from terrane.session import load, materialize
 
 ORPHAN_BATCHES = 2
@@ -32,11 +32,19 @@ def p1_snapshots(spark, d):
     return out
 
 
+def p2_found(spark, d):
+    return hierarchy.hierarchies(hierarchy.relation_links(load(spark, d, "relations")))
+
+
+def p2_descendants(spark, d):
+    return hierarchy.descendants(p2_found(spark, d))
+
+
 def p5_found(spark, d):
     return proximity.pairs_within(versions.current(load(spark, d, "nodes"), ["lat", "lon"]), 10.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p2_found, p2_descendants, p5_found)}
 
 _CURRENT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST) AS rn FROM {t}) WHERE rn = 1 AND coalesce(visible, true)"""
 
@@ -48,9 +56,22 @@ s AS (SELECT e.kind, e.id, min(loaded_at) AS since FROM e JOIN t ON e.kind = t.k
 o AS (SELECT c.* FROM c JOIN s USING (kind, id) LEFT JOIN t ON t.kind = c.type AND t.id = c.ref
   WHERE c.type IS NOT NULL AND c.ref IS NOT NULL AND (t.id IS NULL OR NOT t.live OR t.first_at > s.since)) """
 
+_P2 = f"""WITH RECURSIVE now AS MATERIALIZED ({_CURRENT.format(t="relations")}),
+l AS MATERIALIZED (SELECT child, min(parent) AS parent FROM (SELECT parent, m.type AS type, m.ref AS child FROM (SELECT id AS parent, unnest(members) AS m FROM now)) WHERE type = 2 AND child IN (SELECT id FROM now) GROUP BY child),
+n AS (SELECT child AS id FROM l UNION SELECT parent FROM l),
+up AS (SELECT id, id AS root_id, 0 AS depth, id::VARCHAR AS path FROM n WHERE id NOT IN (SELECT child FROM l)
+  UNION ALL SELECT l.child, up.root_id, up.depth + 1, up.path || '/' || l.child FROM up JOIN l ON l.parent = up.id),
+rest AS MATERIALIZED (SELECT l.* FROM l ANTI JOIN up ON l.child = up.id),
+walk AS (SELECT child AS v, parent AS w FROM rest UNION SELECT walk.v, rest.parent FROM walk JOIN rest ON rest.child = walk.w),
+ring AS MATERIALIZED (SELECT DISTINCT v AS id FROM walk WHERE v = w),
+reach AS (SELECT v AS id, min(w) AS least FROM walk WHERE w IN (SELECT id FROM ring) GROUP BY v) """
+
 SQL = {
     "p1_found": _P1 + "SELECT kind, id, pos, ref FROM o",
     "p1_report": _P1 + "SELECT kind, type, strftime(ts, '%Y-%m') AS month, count(*) AS n_refs FROM o GROUP BY ALL",
+    "p2_found": _P2 + """SELECT id, root_id, depth, path FROM up
+UNION ALL SELECT n.id, c.least, CASE WHEN r.id IS NOT NULL THEN -1 ELSE -2 END, '' FROM n ANTI JOIN up USING (id) JOIN reach c USING (id) LEFT JOIN ring r ON r.id = n.id""",
+    "p2_descendants": _P2 + "SELECT u.id::BIGINT AS id, x.id AS descendant, x.depth - u.pos AS distance FROM up x, (SELECT id AS d, unnest(string_split(path, '/')) AS id, generate_subscripts(string_split(path, '/'), 1) - 1 AS pos FROM up) u WHERE u.d = x.id AND u.pos < x.depth",
     "p5_found": f"""WITH p AS MATERIALIZED (SELECT id, lat, lon, floor((lat + 90) * 8000)::BIGINT AS s, floor((lon + 180) * 20)::BIGINT % 7200 AS c FROM ({_CURRENT.format(t="nodes")})
   WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon) AND NOT (lat = 0 AND lon = 0)),
 q AS (SELECT id, lat, lon, s + ds AS s, (c + dc + 7200) % 7200 AS c FROM p, (VALUES (-1), (0), (1)) a(ds), (VALUES (-1), (0), (1)) b(dc))
