@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import hierarchy, orphans, proximity, versions
+from terrane.operators import hierarchy, multivalue, orphans, proximity, versions
 from terrane.session import load, materialize
 
 ORPHAN_BATCHES = 2
@@ -40,11 +40,15 @@ def p2_descendants(spark, d):
     return hierarchy.descendants(p2_found(spark, d))
 
 
+def p4_found(spark, d):
+    return multivalue.split_tags(load(spark, d, "tags"), load(spark, d, "list_keys"))
+
+
 def p5_found(spark, d):
     return proximity.pairs_within(versions.current(load(spark, d, "nodes"), ["lat", "lon"]), 10.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p2_found, p2_descendants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p2_found, p2_descendants, p4_found, p5_found)}
 
 _CURRENT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST) AS rn FROM {t}) WHERE rn = 1 AND coalesce(visible, true)"""
 
