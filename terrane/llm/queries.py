@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.llm import termstats, tokens, topitems
-from terrane.session import load
+from terrane.llm import mixing, sentences, termstats, tokens, topitems
+from terrane.session import load, materialize
 
 
 def p3_found(spark, d):
@@ -29,7 +29,36 @@ def p7_ids(spark, d):
     return tokens.encode_documents(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_bounds, p6_found, p6_counts, p7_ids)}
+def _counted(spark, d):
+    docs = load(spark, d, "documents").withColumn("source", mixing.source_name(F.col("source"))).filter(F.col("source").isNotNull())
+    return materialize(tokens.count_tokens(docs, ["doc_id", "source"]))
+
+
+def p8_mix(spark, d):
+    """The documents to use and how often."""
+    counted = _counted(spark, d)
+    return mixing.select(counted, materialize(mixing.plan(counted, load(spark, d, "mix_targets"))))
+
+
+def p8_shares(spark, d):
+    """Wanted and actual shares."""
+    counted = _counted(spark, d)
+    return mixing.report(counted, mixing.plan(counted, load(spark, d, "mix_targets")), load(spark, d, "mix_targets"))
+
+
+def p9_found(spark, d):
+    docs = load(spark, d, "documents")
+    return sentences.sentences(docs, sentences.learn(docs))
+
+
+def p9_languages(spark, d):
+    """Sentences and their characters by the stated language."""
+    docs = load(spark, d, "documents")
+    found = sentences.sentences(docs, sentences.learn(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("chars"))
+    return docs.select("doc_id", "lang").join(found, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("m").alias("n_sentences"), F.sum("chars").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_bounds, p6_found, p6_counts, p7_ids, p8_mix, p8_shares, p9_found, p9_languages)}
 
 _P6 = """WITH total AS (SELECT count(*) AS n FROM (SELECT DISTINCT kind, id FROM tags)),
 c AS (SELECT k, count(*) AS row_count, count(DISTINCT (kind, id)) AS record_count FROM tags WHERE k IS NOT NULL GROUP BY k),
