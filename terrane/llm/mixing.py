@@ -75,16 +75,23 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     take, left = docs * passes, budget - passes * once
     if passes < most:
         room = docs * (passes + 1)
-        more = (docs * (max(left - FIT // 2, 0) / once)).astype(np.int64)
+        # an even share of every length: whole copies of the running sum
+        more = np.diff(np.floor(np.cumsum(docs * (max(left - FIT // 2, 0) / once)) + 1e-9).astype(np.int64), prepend=0)
         take, left = take + more, left - int((size * more).sum())
-        # rounding leaves up to one copy of each length: fill evenly before the fit
+        for at in range(len(size) - 1, -1, -1):  # a running sum may be ahead by one long document
+            if left >= 0:
+                break
+            if more[at]:
+                take[at] -= 1
+                left += int(size[at])
         while left > FIT:
-            more = np.nonzero((take < room) & (size <= left))[0]
-            if not len(more):
+            free = np.nonzero((take < room) & (size <= left - FIT // 2))[0]
+            if not len(free):
                 break
-            more = more[np.cumsum(size[more]) <= max(left - FIT // 2, int(size[more[0]]))]
-            take[more] += 1
-            left -= int(size[more].sum())
+            at = free[-1]
+            n = min(int(room[at] - take[at]), max(1, (left - FIT // 2) // int(size[at])))
+            take[at] += n
+            left -= n * int(size[at])
         take += fit(size, room - take, min(left, FIT))
     return pd.DataFrame({"source": pdf["source"], "n_tokens": size, "copies": take})
 
