@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terrane.plans import general
+from terrane.plans import general, reference
 
 FLAGSHIP = "way_geometry_stats"
-QUERIES: dict = {**general.QUERIES}
-SQL: dict[str, str] = {**general.SQL}
+QUERIES: dict = {**general.QUERIES, **reference.QUERIES}
+SQL: dict[str, str] = {**general.SQL, **reference.SQL}
