@@ -323,6 +323,13 @@ def zigzag_codec(spark, d):
     return g.select("way_id", "pos", "delta", geo.zigzag(F.col("delta")).alias("code"), geo.unzigzag(geo.zigzag(F.col("delta"))).alias("back"))
 
 
+def stream_tag_counts(spark, d):
+    """Tag counts by a stream over the table's files."""
+    from terrane.streaming.tags import run_once, stream_table, tag_counts
+
+    return run_once(tag_counts(stream_table(spark, f"{d}/tags.parquet")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -332,7 +339,7 @@ QUERIES = {
         way_info, way_lookup, distinct_way_nodes, referenced_nodes, dangling_refs, max_vertex_jump, delta_encode, delta_decode, way_stats,
         way_len_hist, way_size_quantiles, sparse_index, relation_members, relation_node_members, relation_way_members, relation_bbox,
         relation_size_stats, relation_size_hist, role_dictionary, blob_index, phase_offsets, heat_map, map_objects, median_split, smallest_k,
-        kd_tree_level, kd_assign, kd_leaf_stats, kd_partition, varint_length, zigzag_codec,
+        kd_tree_level, kd_assign, kd_leaf_stats, kd_partition, varint_length, zigzag_codec, stream_tag_counts,
     )
 }
 
@@ -455,6 +462,7 @@ SQL = {
     "kd_tree_level": _kd_sql("SELECT node AS node_id, by_lat, split_value FROM v0"),
     "kd_assign": _kd_sql(f"SELECT kind, id, node AS leaf FROM a{KD_DEPTH}"),
     "kd_leaf_stats": _kd_sql(f"SELECT node AS leaf, count(*) AS items, sum(weight)::BIGINT AS weight, min(mid_lat) AS min_lat, max(mid_lat) AS max_lat, min(mid_lon) AS min_lon, max(mid_lon) AS max_lon FROM a{KD_DEPTH} GROUP BY node"),
+    "stream_tag_counts": f"WITH {_KC} SELECT * FROM c",
     "varint_length": f"WITH {_W}, {_DELTA}, z AS (SELECT way_id, pos, {_ZZ.format(c='delta')} AS code FROM e) SELECT way_id, pos, CASE WHEN code = 0 THEN 1 ELSE floor(log2(code::DOUBLE) / 7)::INT + 1 END AS n_bytes FROM z",
     "zigzag_codec": _N + ", " + _W + _G + f", j AS (SELECT way_id, pos, lat::BIGINT - lag(lat::BIGINT, 1, 0) OVER (PARTITION BY way_id ORDER BY pos) AS delta FROM g) SELECT way_id, pos, delta, {_ZZ.format(c='delta')} AS code, delta AS back FROM j",
 }
