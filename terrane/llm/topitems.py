@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COUNTERS = 1024
-FAN_IN = 16
+#: Summaries left after each merge of the tree, before the last to one.
+STEPS = (1024, 32)
 _SCHEMA = "field string, item string, cnt bigint, n bigint"
 
 
@@ -76,13 +77,12 @@ def _merge(m: int):
     return run
 
 
-def merged(parts: DataFrame, n_parts: int, m: int = COUNTERS, fan_in: int = FAN_IN) -> DataFrame:
-    """Merge summaries ``fan_in`` at a time, so that no task holds more than ``fan_in * m`` counters."""
-    while True:
-        parts = parts.withColumn("part", (F.col("part") / fan_in).cast("int")).groupBy("field", "part").applyInArrow(_merge(m), _SCHEMA + ", part int")
-        n_parts = -(-n_parts // fan_in)
-        if n_parts <= 1:
-            return parts.drop("part")
+def merged(parts: DataFrame, m: int = COUNTERS) -> DataFrame:
+    """Merge summaries by a tree of fixed depth, so that no task holds more than a few hundred of them."""
+    for step in (*STEPS, 0):
+        part = F.pmod(F.col("part"), F.lit(step)) if step else F.lit(0)
+        parts = parts.withColumn("part", part.cast("int")).groupBy("field", "part").applyInArrow(_merge(m), _SCHEMA + ", part int")
+    return parts.drop("part")
 
 
 def heavy_hitters(df: DataFrame, columns: list[str], m: int = COUNTERS) -> DataFrame:
@@ -90,7 +90,7 @@ def heavy_hitters(df: DataFrame, columns: list[str], m: int = COUNTERS) -> DataF
 
     The true count lies between ``lower_count`` and ``upper_count`` = lower + n / (m + 1).
     """
-    s = merged(summaries(df, columns, m), df.rdd.getNumPartitions(), m)
+    s = merged(summaries(df, columns, m), m)
     total = s.filter(F.col("item").isNull()).groupBy("field").agg(F.max("n").alias("n"))
     items = s.filter(F.col("item").isNotNull()).select("field", "item", "cnt")
     bound = F.floor(F.col("n") / F.lit(m + 1)).cast("bigint")
