@@ -71,18 +71,17 @@ class Grid:
         return df.withColumn("_c", F.explode(F.sequence(first, F.least(last, first + F.col("_n") - 1)))).withColumn("cell", self.cell(F.col("_strip"), F.col("_c"), F.col("_n"))).drop("_strip", "_n", "_c")
 
 
-def parity(points: DataFrame, edges: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
-    """(``on``, rid, pid and what rides along) of each point within a region.
+def parity(points: DataFrame, edges: DataFrame, on: list[str], carry: list[str], also: Column | None = None) -> DataFrame:
+    """(``on``, rid, pid, ``carry``) of each point within a region.
 
-    points: ``on``, pid, py, px. edges: ``on``, rid, ry, rx (a place of the region, which fixes the turn of the globe),
-    y0 < y1, x0, x1. All edges of a region that a ray from a cell may meet are in that cell, so counting stays in it.
+    points: ``on``, pid, py, px. edges: ``on``, rid, rx (a longitude of the ring, which fixes the turn of the globe),
+    y0 < y1, x0, x1. All edges of a ring that a ray from a cell may meet are in that cell, so counting stays in it.
     """
     x = F.col("px") + 360.0 * F.round((F.col("rx") - F.col("px")) / 360.0)
     at = F.col("x0") + (F.col("x1") - F.col("x0")) * ((F.col("py") - F.col("y0")) / (F.col("y1") - F.col("y0")))
     crosses = (F.col("y0") <= F.col("py")) & (F.col("py") < F.col("y1")) & (x < at)
     joined = edges.join(points, on).filter(crosses if also is None else crosses & also)
-    keys = [*on, "rid", "pid", "ry", "rx", "py", "px"]
-    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("crossings")).filter(F.col("crossings") % 2 == 1)
+    return joined.groupBy(*on, "rid", "pid", *carry).agg(F.count(F.lit(1)).alias("crossings")).filter(F.col("crossings") % 2 == 1)
 
 
 def _hot_cells(cells: DataFrame, hot: int) -> DataFrame | None:
@@ -116,7 +115,7 @@ def pairs_within(points: DataFrame, metres: float, cell_m: float = CELL_M, hot:
     # regions travel as one row; their edges (the two that aren't parallel to a ray) are made where they arrive
     sides = F.array(*[F.struct((lat - reach).alias("y0"), (lat + reach).alias("y1"), x.alias("x0"), x.alias("x1")) for x in (lon - wide, lon + wide)])
     edges = r.repartition(*on).select(*on, "rid", "ry", "rx", F.inline(sides))
-    inside = parity(p, edges, on, F.col("rid") < F.col("pid"))
+    inside = parity(p, edges, on, ["ry", "rx", "py", "px"], F.col("rid") < F.col("pid"))
     near = great_circle_m(F.col("ry"), F.col("rx"), F.col("py"), F.col("px")) <= metres
     return inside.filter(near).select(F.col("rid").alias("id_a"), F.col("pid").alias("id_b"))
 
@@ -143,11 +142,9 @@ def containing_regions(points: DataFrame, rings: DataFrame, cell_deg: float = 0.
     edges = rings.select("rid", "rx", "west", F.inline(F.zip_with("ring", closed, lambda a, b: F.struct(a["y"].alias("ya"), a["x"].alias("xa"), b["y"].alias("yb"), b["x"].alias("xb")))))
     up = F.col("ya") <= F.col("yb")
     edges = edges.select("rid", "rx", "west", F.least("ya", "yb").alias("y0"), F.greatest("ya", "yb").alias("y1"), F.when(up, F.col("xa")).otherwise(F.col("xb")).alias("x0"), F.when(up, F.col("xb")).otherwise(F.col("xa")).alias("x1"))
-    # the west end of the region in all rings is the least of them; a ray meets an edge only from its west
-    west = edges.groupBy("rid").agg(F.min("west").alias("west"), F.first("rx").alias("ry"))
-    edges = edges.drop("west").join(west, "rid")
+    # a ray meets an edge only from between the ring's west end and the edge
     cells = grid.cover(edges, F.col("y0"), F.col("y1"), F.col("west"), F.greatest("x0", "x1"))
-    inside = parity(p, cells.filter(F.col("y0") < F.col("y1")), ["cell"]).select(F.col("pid").alias("id"), F.col("rid").alias("region"))
+    inside = parity(p, cells.filter(F.col("y0") < F.col("y1")), ["cell"], []).select(F.col("pid").alias("id"), F.col("rid").alias("region"))
     x = F.col("px") + 360.0 * F.round((F.col("rx") - F.col("px")) / 360.0)
     cross = (x - F.col("x0")) * (F.col("y1") - F.col("y0")) - (F.col("x1") - F.col("x0")) * (F.col("py") - F.col("y0"))
     within = F.col("py").between(F.col("y0"), F.col("y1")) & x.between(F.least("x0", "x1"), F.greatest("x0", "x1"))

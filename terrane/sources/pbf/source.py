@@ -109,7 +109,7 @@ class PbfReader(DataSourceReader):
                 f.seek(x.data)
                 data = f.read(x.size)
                 if self.entity == "blob":
-                    blob = decode.parse_blob(data)
+                    blob = decode.parse_blob(data) if x.type in ("OSMHeader", "OSMData") else {}
                     codec = decode.codec_of(blob)
                     kinds = [("file", pa.string()), ("start_position", pa.int64()), ("data_position", pa.int64()), ("type", pa.string()), ("data_size", pa.int32()), ("codec", pa.string()), ("raw_size", pa.int32())]
                     raw = len(blob["raw"]) if codec == "raw" else blob.get("raw_size")
