@@ -42,7 +42,7 @@ def great_circle_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -
 class Grid:
     """Strips of ``height`` degrees of latitude; each has as many cells as fit at its end nearer to a pole."""
 
-    def __init__(self, height: float):
+    def __init__(self, height: float | Column):
         self.height = height
 
     def strip(self, lat: Column) -> Column:
@@ -71,8 +71,8 @@ class Grid:
         return df.withColumn("_c", F.explode(F.sequence(first, F.least(last, first + F.col("_n") - 1)))).withColumn("cell", self.cell(F.col("_strip"), F.col("_c"), F.col("_n"))).drop("_strip", "_n", "_c")
 
 
-def parity(points: DataFrame, edges: DataFrame, on: list[str], carry: list[str], also: Column | None = None) -> DataFrame:
-    """(``on``, rid, pid, ``carry``) of each point within a region.
+def crossings(points: DataFrame, edges: DataFrame, on: list[str], carry: list[str], also: Column | None = None) -> DataFrame:
+    """(``on``, rid, pid, ``carry``, crossings): how many edges of a region a point's ray crosses, where it does.
 
     points: ``on``, pid, py, px. edges: ``on``, rid, rx (a longitude of the ring, which fixes the turn of the globe),
     y0 < y1, x0, x1. All edges of a ring that a ray from a cell may meet are in that cell, so counting stays in it.
@@ -81,7 +81,7 @@ def parity(points: DataFrame, edges: DataFrame, on: list[str], carry: list[str],
     at = F.col("x0") + (F.col("x1") - F.col("x0")) * ((F.col("py") - F.col("y0")) / (F.col("y1") - F.col("y0")))
     crosses = (F.col("y0") <= F.col("py")) & (F.col("py") < F.col("y1")) & (x < at)
     joined = edges.join(points, on).filter(crosses if also is None else crosses & also)
-    return joined.groupBy(*on, "rid", "pid", *carry).agg(F.count(F.lit(1)).alias("crossings")).filter(F.col("crossings") % 2 == 1)
+    return joined.groupBy(*on, "rid", "pid", *carry).agg(F.count(F.lit(1)).alias("crossings"))
 
 
 def _hot_cells(cells: DataFrame, hot: int) -> DataFrame | None:
@@ -115,40 +115,51 @@ def pairs_within(points: DataFrame, metres: float, cell_m: float = CELL_M, hot:
     # regions travel as one row; their edges (the two that aren't parallel to a ray) are made where they arrive
     sides = F.array(*[F.struct((lat - reach).alias("y0"), (lat + reach).alias("y1"), x.alias("x0"), x.alias("x1")) for x in (lon - wide, lon + wide)])
     edges = r.repartition(*on).select(*on, "rid", "ry", "rx", F.inline(sides))
-    inside = parity(p, edges, on, ["ry", "rx", "py", "px"], F.col("rid") < F.col("pid"))
+    inside = crossings(p, edges, on, ["ry", "rx", "py", "px"], F.col("rid") < F.col("pid")).filter(F.col("crossings") % 2 == 1)
     near = great_circle_m(F.col("ry"), F.col("rx"), F.col("py"), F.col("px")) <= metres
     return inside.filter(near).select(F.col("rid").alias("id_a"), F.col("pid").alias("id_b"))
 
 
-def containing_regions(points: DataFrame, rings: DataFrame, cell_deg: float = 0.25, boundary: bool = True) -> DataFrame:
+def containing_regions(points: DataFrame, rings: DataFrame, cell_deg: float = 0.001, boundary: bool = True) -> DataFrame:
     """(id, region): each region that holds a point.
 
+    Rings are binned on the grid of their own size: cells of ``cell_deg`` degrees times the power of 4 that is no less
+    than the ring's extent, so that a ring meets a few cells whatever its size; points are sent to each grid in use.
+
     points: id, lat, lon. rings: region, ring (array of struct(lat, lon)), closed or not; several rings of one region
     (holes, parts) go by the even-odd rule. Successive vertices are joined the short way, so that rings may cross the
     180th meridian; rings around a pole aren't supported. Rings of fewer than three places or with unusable vertices
     hold nothing but the points on them.
     """
-    grid = Grid(cell_deg)
     points = points.select("id", "lat", "lon").filter(F.col("id").isNotNull() & usable(F.col("lat"), F.col("lon")))
-    p = points.select(grid.of(F.col("lat"), F.col("lon")).alias("cell"), F.col("id").alias("pid"), F.col("lat").alias("py"), F.col("lon").alias("px"))
 
     ring = F.filter("ring", lambda v: v.isNotNull() & usable(v["lat"], v["lon"]))
     rings = rings.filter(F.col("region").isNotNull()).select(F.col("region").alias("rid"), ring.alias("ring")).filter(F.size("ring") > 0)
     rings = rings.withColumn("rx", F.element_at("ring", 1)["lon"])
     # unroll: every longitude within half a turn of the ring's first
     ring = F.transform("ring", lambda v: F.struct(v["lat"].alias("y"), (v["lon"] + 360.0 * F.round((F.col("rx") - v["lon"]) / 360.0)).alias("x")))
-    rings = rings.withColumn("ring", ring).withColumn("west", F.array_min(F.transform("ring", lambda v: v["x"])))
+    rings = rings.withColumn("ring", ring)
+    end = lambda f, a: f(F.transform("ring", lambda v: v[a]))
+    ends = {n: end(f, a) for n, f, a in (("west", F.array_min, "x"), ("east", F.array_max, "x"), ("south", F.array_min, "y"), ("north", F.array_max, "y"))}
+    extent = F.greatest(ends["east"] - ends["west"], ends["north"] - ends["south"], F.lit(cell_deg))
+    rings = rings.withColumn("west", ends["west"]).withColumn("level", F.ceil(F.log(extent / cell_deg) / math.log(4)).cast("int"))
+    levels = sorted(r["level"] for r in rings.select("level").distinct().collect())  # at most a dozen
+    height = F.lit(cell_deg) * F.pow(F.lit(4.0), F.col("level"))
+    grid = Grid(height)
+    p = points.select(F.explode(F.lit(levels).cast("array<int>")).alias("level"), F.col("id").alias("pid"), F.col("lat").alias("py"), F.col("lon").alias("px"))
+    p = p.withColumn("cell", grid.of(F.col("py"), F.col("px")))
     closed = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    edges = rings.select("rid", "rx", "west", F.inline(F.zip_with("ring", closed, lambda a, b: F.struct(a["y"].alias("ya"), a["x"].alias("xa"), b["y"].alias("yb"), b["x"].alias("xb")))))
+    edges = rings.select("rid", "rx", "west", "level", F.inline(F.zip_with("ring", closed, lambda a, b: F.struct(a["y"].alias("ya"), a["x"].alias("xa"), b["y"].alias("yb"), b["x"].alias("xb")))))
     up = F.col("ya") <= F.col("yb")
-    edges = edges.select("rid", "rx", "west", F.least("ya", "yb").alias("y0"), F.greatest("ya", "yb").alias("y1"), F.when(up, F.col("xa")).otherwise(F.col("xb")).alias("x0"), F.when(up, F.col("xb")).otherwise(F.col("xa")).alias("x1"))
+    edges = edges.select("rid", "rx", "west", "level", F.least("ya", "yb").alias("y0"), F.greatest("ya", "yb").alias("y1"), F.when(up, F.col("xa")).otherwise(F.col("xb")).alias("x0"), F.when(up, F.col("xb")).otherwise(F.col("xa")).alias("x1"))
     # a ray meets an edge only from between the ring's west end and the edge
     cells = grid.cover(edges, F.col("y0"), F.col("y1"), F.col("west"), F.greatest("x0", "x1"))
-    inside = parity(p, cells.filter(F.col("y0") < F.col("y1")), ["cell"], []).select(F.col("pid").alias("id"), F.col("rid").alias("region"))
+    # rings of one region may be on several grids: their counts are added up
+    inside = crossings(p, cells.filter(F.col("y0") < F.col("y1")), ["level", "cell"], []).groupBy("rid", "pid").agg(F.sum("crossings").alias("n")).filter(F.col("n") % 2 == 1).select(F.col("pid").alias("id"), F.col("rid").alias("region"))
     x = F.col("px") + 360.0 * F.round((F.col("rx") - F.col("px")) / 360.0)
     cross = (x - F.col("x0")) * (F.col("y1") - F.col("y0")) - (F.col("x1") - F.col("x0")) * (F.col("py") - F.col("y0"))
     within = F.col("py").between(F.col("y0"), F.col("y1")) & x.between(F.least("x0", "x1"), F.greatest("x0", "x1"))
-    on_edge = cells.join(p, "cell").filter(within & (F.abs(cross) <= 1e-12)).select(F.col("pid").alias("id"), F.col("rid").alias("region")).distinct()
+    on_edge = cells.join(p, ["level", "cell"]).filter(within & (F.abs(cross) <= 1e-12)).select(F.col("pid").alias("id"), F.col("rid").alias("region")).distinct()
     if boundary:
         return inside.union(on_edge).distinct()
     return inside.join(on_edge, ["id", "region"], "left_anti").distinct()

@@ -13,6 +13,8 @@ from terrane.operators.ranking import nth_value
 from terrane.session import materialize, release
 
 MAX_DEPTH = 40
+#: Levels after which the rows are written anew; between, they are routed by joins with the levels' splits.
+REWRITE = 4
 
 
 def _extents(rows: DataFrame) -> DataFrame:
@@ -44,17 +46,19 @@ def route(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 def kd_tree(objects: DataFrame, limit: int, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """(assigned, splits): ``objects`` with their leaf's ``node_id``, and the tree (node_id, by_lat, split_value)."""
-    rows = materialize(objects.withColumn("node_id", F.lit(1).cast("bigint")))
+    base = rows = materialize(objects.withColumn("node_id", F.lit(1).cast("bigint")))
     levels = []
-    for _ in range(min(depth, 60)):
+    for i in range(min(depth, 60)):
         found = materialize(splits_of(rows, limit))
         if found.isEmpty():
             release(found)
             break
         levels.append(found)
-        moved = materialize(route(rows, found))
-        release(rows)
-        rows = moved
+        rows = route(rows, found)
+        if i % REWRITE == REWRITE - 1:
+            moved = materialize(rows)
+            release(base)
+            base = rows = moved
     tree = objects.sparkSession.createDataFrame([], "node_id bigint, by_lat boolean, split_value int")
     for x in levels:
         tree = tree.unionByName(x)
