@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies by tree contraction.
 
-Links (child, parent) form trees of unknown depth, or circles with trees below them. Each round first rakes all leaves
-(nodes with a parent and no child) and then compresses unary chains: a node with one child is spliced out if its coin of
-the round shows heads and its parent isn't spliced as well, and its child's link then leads past it. Every link carries
-the ids it stands for. A constant share of the nodes goes in each round, whatever the shape, so rounds grow with the
-logarithm of the number of nodes. What no round can remove are the circles: they shrink to a node linked to itself.
+Links (child, parent) form trees of unknown depth, or circles with trees below them. Each round rakes all leaves (nodes
+with a parent and no child) and compresses unary chains: a node with one child is spliced out if its coin of the round
+shows heads and its parent's shows tails, and its child's link then leads past it. Every link carries the ids it stands
+for. A constant share of the nodes goes in each round, whatever the shape, so rounds grow with the logarithm of the
+number of nodes. What no round can remove are the circles: they shrink to a node linked to itself.
 
 The recorded contractions are then reversed, last round first: the end of each is resolved by then, and gives its root,
 depth and path to the node, with the carried ids put between. Nodes removed under a circle are on it if the child they
@@ -23,45 +23,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import materialize, release
+from terrane.session import materialize, release, together
 
 ON_CIRCLE, BELOW_CIRCLE = -1, -2
-#: Resolved parts are merged into one table beyond this number.
-COMPACT = 8
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionAll(x)
-    return out
+    """Tables of one schema as one scan."""
+    return together(parts) if len(parts) > 1 else parts[0]
+
+
+def _coin(c: str, i: int):
+    return F.pmod(F.xxhash64(F.col(c), F.lit(i)), F.lit(2)) == 0
 
 
 def _round(links: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
-    """One round: (records, links): rows (kind, v, p, child, ids, n, least); kind 0 raked, 1 spliced, 2 circle, 3 link."""
-    children = links.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
-    raked = F.col("m").isNull()
-    marked = materialize(links.join(children.withColumnRenamed("p", "v"), "v", "left").select("v", "p", "ids", "n", "least", raked.alias("raked")))
-    kept = marked.filter(~F.col("raked")).select("v", "p", "ids", "n", "least")
-
-    only = kept.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("child")).filter(F.col("m") == 1).select(F.col("p").alias("v"), "child")
-    heads = F.pmod(F.xxhash64("v", F.lit(i)), F.lit(2)) == 0
-    able = kept.filter(heads).join(only, "v")
-    above = able.select(F.col("v").alias("p"))
-    spliced = materialize(able.join(above, "p", "left_anti").select("v", "p", "child", "ids", "n", "least"))
-
-    past = spliced.select(F.col("v").alias("p"), F.col("p").alias("up"), F.col("ids").alias("ids_up"), F.col("n").alias("n_up"), F.col("least").alias("least_up"))
-    rest = kept.join(spliced.select("v"), "v", "left_anti").join(past, "p", "left")
-    rest = rest.select("v", F.coalesce("up", "p").alias("p"), F.when(F.col("up").isNull(), F.col("ids")).otherwise(F.concat_ws("/", "ids_up", "ids")).alias("ids"), (F.col("n") + F.coalesce("n_up", F.lit(0))).alias("n"), F.least("least", "least_up").alias("least"))
-    columns = ["v", "p", "ids", "n", "least"]
-    null = F.lit(None).cast("bigint")
+    """One round: (records, links): rows (kind, v, p, ids, n, least, child); kind 0 raked, 1 spliced, 2 circle, 3 link."""
+    children = links.groupBy(F.col("p").alias("v")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("child"))
+    kind = F.when(F.col("m").isNull(), 0).when((F.col("m") == 1) & _coin("v", i) & ~_coin("p", i), 1).otherwise(3)
+    marked = links.join(children, "v", "left").select("v", "p", "ids", "n", "least", "child", kind.alias("kind"))
+    # a spliced node's parent isn't spliced, and a raked one's link stays: only links that stay are led past
+    past = marked.filter("kind = 1").select(F.col("v").alias("p"), F.col("p").alias("up"), F.col("ids").alias("ids_up"), F.col("n").alias("n_up"), F.col("least").alias("least_up"))
+    moved = (F.col("kind") == 3) & F.col("up").isNotNull()
+    end = F.when(moved, F.col("up")).otherwise(F.col("p"))
+    circle = (F.col("kind") == 3) & (end == F.col("v"))
     rows = materialize(
-        marked.filter("raked").select(F.lit(0).alias("kind"), *columns, null.alias("child"))
-        .unionAll(spliced.select(F.lit(1), *columns, "child"))
-        .unionAll(rest.select(F.when(F.col("v") == F.col("p"), 2).otherwise(3), "v", "p", F.when(F.col("v") != F.col("p"), F.col("ids")), "n", "least", null))
-    )
-    release(marked, spliced)
-    return rows, rows.filter("kind = 3").select(*columns)
+        marked.join(past, "p", "left").select(
+            F.when(circle, 2).otherwise(F.col("kind")).alias("kind"), "v", end.alias("p"),
+            F.when(circle, None).when(moved, F.concat_ws("/", "ids_up", "ids")).otherwise(F.col("ids")).alias("ids"),
+            F.when(moved, F.col("n") + F.col("n_up")).otherwise(F.col("n")).alias("n"),
+            F.when(moved, F.least("least", "least_up")).otherwise(F.col("least")).alias("least"), "child",
+        )
+    )
+    return rows, rows.filter("kind = 3").select("v", "p", "ids", "n", "least")
+
+
+def _resolve(record: DataFrame, known: DataFrame, spliced: bool) -> DataFrame:
+    """The results of removed nodes whose ends are known."""
+    end = known.select(F.col("id").alias("p"), "root_id", F.col("depth").alias("d"), F.col("path").alias("up"))
+    record = record.join(end, "p")
+    if spliced:  # on a circle if the child it had is; what was raked never is
+        record = record.join(known.filter(F.col("depth") == ON_CIRCLE).select(F.col("id").alias("child"), F.lit(True).alias("ring")), "child", "left")
+    else:
+        record = record.withColumn("ring", F.lit(False))
+    depth = F.when(F.col("d") >= 0, F.col("d") + F.col("n")).when(F.col("ring"), ON_CIRCLE).otherwise(BELOW_CIRCLE)
+    path = F.when(F.col("d") >= 0, F.concat_ws("/", "up", "ids")).otherwise("")
+    return record.select(F.col("v").alias("id"), "root_id", depth.cast("bigint").alias("depth"), path.alias("path"))
 
 
 def hierarchies(links: DataFrame) -> DataFrame:
@@ -83,24 +90,15 @@ def hierarchies(links: DataFrame) -> DataFrame:
     done = [tops.unionAll(loops.select("v", "v", F.lit(ON_CIRCLE).cast("bigint"), F.lit("")))]
     for rows in rounds:
         done.append(rows.filter("kind = 2").select("v", "least", F.lit(ON_CIRCLE).cast("bigint"), F.lit("")))
-    parts = [materialize(_union(done))]
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionAll(x)
+    parts = [materialize(out)]
     for rows in reversed(rounds):
-        # a leaf may have been raked from a node that was spliced later in the round
-        for kind in (1, 0):
-            known = _union(parts)
-            end = known.select(F.col("id").alias("p"), "root_id", F.col("depth").alias("d"), F.col("path").alias("up"))
-            record = rows.filter(F.col("kind") == kind).join(end, "p")
-            if kind:  # on a circle if the child it had is; what was raked never is
-                record = record.join(known.filter(F.col("depth") == ON_CIRCLE).select(F.col("id").alias("child"), F.lit(True).alias("ring")), "child", "left")
-            else:
-                record = record.withColumn("ring", F.lit(False))
-            depth = F.when(F.col("d") >= 0, F.col("d") + F.col("n")).when(F.col("ring"), ON_CIRCLE).otherwise(BELOW_CIRCLE)
-            path = F.when(F.col("d") >= 0, F.concat_ws("/", "up", "ids")).otherwise("")
-            parts.append(materialize(record.select(F.col("v").alias("id"), "root_id", depth.cast("bigint").alias("depth"), path.alias("path"))))
-        if len(parts) > COMPACT:
-            merged = materialize(_union(parts))
-            release(*parts)
-            parts = [merged]
+        # a leaf may have been raked from a node that was spliced in the same round
+        known = _union(parts)
+        spliced = _resolve(rows.filter("kind = 1"), known, True)
+        parts.append(materialize(spliced.unionAll(_resolve(rows.filter("kind = 0"), known.unionAll(spliced), False))))
         release(rows)
     release(base)
     return _union(parts).select("id", "root_id", F.col("depth").cast("int").alias("depth"), "path")

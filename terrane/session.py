@@ -51,6 +51,12 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return out
 
 
+def together(dfs: list[DataFrame]) -> DataFrame:
+    """Tables of one schema, each written by :func:`materialize`, read by one scan."""
+    spark = dfs[0].sparkSession
+    return spark.read.schema(dfs[0].schema).parquet(*[df._terrane_url for df in dfs])
+
+
 def release(*dfs: DataFrame | None) -> None:
     """Delete tables written by :func:`materialize` that no later plan reads."""
     for df in dfs:
