@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, tuple[SparkSession, str]] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, unless they inherit a path to it."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(sc, "_terrane_shipped", False):
+        return
+    if root not in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+        archive = os.path.join(tempfile.mkdtemp(prefix="terrane-code-"), "terrane.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(os.path.join(root, "terrane")):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+        sc.addPyFile(archive)
+    sc._terrane_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = own.get()
     if not found:
         found = getattr(spark, "_terrane_shared", None)
         if not found:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terrane.session import ship
 from terrane.sources.pbf import decode, wire
 
 #: The greatest sizes that the format allows.
@@ -142,6 +143,7 @@ class PbfDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(PbfDataSource)
 
 

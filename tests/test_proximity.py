@@ -74,6 +74,14 @@ def test_regions(spark):
     assert got == {(p[0], r) for p in points for r, ring in rings if inside(p[1:], ring)} and got
 
 
+def test_no_regions(spark):
+    t = spark.createDataFrame([(1, [])], "region int, ring array<struct<lat:double,lon:double>>")
+    assert proximity.containing_regions(frame(spark, [(1, 1.0, 1.0)]), t).count() == 0
+    square = [(0.0, 1.0), (0.0, 3.0), (2.0, 3.0), (2.0, 1.0)]
+    t = spark.createDataFrame([(1, square)], "region int, ring array<struct<lat:double,lon:double>>")
+    assert proximity.containing_regions(frame(spark, []), t).count() == 0
+
+
 def test_region_edges_holes_and_meridian(spark):
     square = [(0.0, 1.0), (0.0, 3.0), (2.0, 3.0), (2.0, 1.0), (0.0, 1.0)]
     hole = [(0.5, 1.5), (0.5, 2.5), (1.5, 2.5), (1.5, 1.5)]
