@@ -21,21 +21,21 @@ def ranked(df: DataFrame, bucket: Column, order: list, by: list[str] | None = No
     return df.join(before, [*by, "_bucket"]).withColumn(name, F.col("_before") + own - 1).drop("_bucket", "_before")
 
 
-def nth_value(df: DataFrame, by: list[str], value: str, rank: DataFrame) -> DataFrame:
+def piece(counts: DataFrame, at: str, by: str = "node_id") -> DataFrame:
+    """Of the counts ``m`` of pieces in order of ``at``, the piece that holds rank ``k``; ``before`` lie below it."""
+    upto = F.sum("m").over(Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("m"))
+    return found.filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("upto")))
+
+
+def nth_value(df: DataFrame, by: str, value: str, rank: DataFrame) -> DataFrame:
     """(``by``, value): the value of 0-based rank ``k`` (``rank``: ``by``, k) of the int column ``value`` of each group.
 
     Selection by histograms: groups are counted by the upper 16 bits of the value, then, in the piece that holds the
     rank, by the lower 16. Two aggregations, however large a group is.
     """
     v = F.col(value).cast("bigint") + 2**31
-    rows = df.select(*by, F.shiftright(v, 16).alias("hi"), v.bitwiseAND(F.lit(0xFFFF)).alias("lo"))
-    w = Window.partitionBy(*by)
-
-    def piece(counts: DataFrame, at: str) -> DataFrame:
-        upto = F.sum("m").over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-        found = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("m"))
-        return found.filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("upto")))
-
-    high = piece(rows.groupBy(*by, "hi").agg(F.count(F.lit(1)).alias("m")).join(rank, by), "hi").select(*by, "hi", (F.col("k") - F.col("before")).alias("k"))
-    low = piece(rows.join(high, [*by, "hi"]).groupBy(*by, "hi", "k", "lo").agg(F.count(F.lit(1)).alias("m")), "lo")
-    return low.select(*by, (F.shiftleft("hi", 16) + F.col("lo") - 2**31).cast("int").alias("value"))
+    rows = df.select(by, F.shiftright(v, 16).alias("hi"), v.bitwiseAND(F.lit(0xFFFF)).alias("lo"))
+    high = piece(rows.groupBy(by, "hi").agg(F.count(F.lit(1)).alias("m")).join(rank, by), "hi", by).select(by, "hi", (F.col("k") - F.col("before")).alias("k"))
+    low = piece(rows.join(high, [by, "hi"]).groupBy(by, "hi", "k", "lo").agg(F.count(F.lit(1)).alias("m")), "lo", by)
+    return low.select(by, (F.shiftleft("hi", 16) + F.col("lo") - 2**31).cast("int").alias("value"))

@@ -6,10 +6,10 @@ nodes. Medians are exact, by histograms, so no task sorts or holds a tree node's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.ranking import nth_value
+from terrane.operators.ranking import piece as _piece
 from terrane.session import materialize, release
 
 MAX_DEPTH = 40
@@ -31,10 +31,17 @@ def splits_of(rows: DataFrame, limit: int) -> DataFrame:
     e = _extents(rows).filter((F.col("weight") > limit) & (F.col("items") > 1))
     lat, lon = F.col("max_mid_lat") - F.col("min_mid_lat"), F.col("max_mid_lon") - F.col("min_mid_lon")
     e = e.filter((lat > 0) | (lon > 0)).select("node_id", "items", (lat >= lon).alias("by_lat"), F.when(lat >= lon, F.col("min_mid_lat")).otherwise(F.col("min_mid_lon")).alias("least"))
-    own = rows.join(e, "node_id").select("node_id", "by_lat", "least", F.when(F.col("by_lat"), F.col("mid_lat")).otherwise(F.col("mid_lon")).alias("c"))
-    middle = nth_value(own.select("node_id", "c"), ["node_id"], "c", e.select("node_id", F.floor(F.col("items") / 2).alias("k")))
-    above = own.filter(F.col("c") > F.col("least")).groupBy("node_id").agg(F.min("c").alias("above"))
-    return e.join(middle, "node_id").join(above, "node_id").select("node_id", "by_lat", F.when(F.col("value") > F.col("least"), F.col("value")).otherwise(F.col("above")).alias("split_value"))
+    own = rows.join(e, "node_id").select("node_id", "by_lat", "items", "least", F.when(F.col("by_lat"), F.col("mid_lat")).otherwise(F.col("mid_lon")).alias("c"))
+    # the middle by the upper 16 bits of the axis, with the least value above the least; then by the lower 16 in its piece
+    v = F.col("c").cast("bigint") + 2**31
+    own = own.withColumn("hi", F.shiftright(v, 16)).withColumn("lo", v.bitwiseAND(F.lit(0xFFFF)))
+    node = Window.partitionBy("node_id")
+    high = own.groupBy("node_id", "by_lat", "least", (F.floor(F.col("items") / 2)).alias("k"), "hi").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("c") > F.col("least"), F.col("c"))).alias("above"))
+    high = high.withColumn("above", F.min("above").over(node))
+    high = _piece(high, "hi").select("node_id", "by_lat", "least", "above", "hi", (F.col("k") - F.col("before")).alias("k"))
+    low = own.select("node_id", "hi", "lo").join(high.select("node_id", "hi"), ["node_id", "hi"]).groupBy("node_id", "hi", "lo").agg(F.count(F.lit(1)).alias("m"))
+    middle = _piece(low.join(high, ["node_id", "hi"]), "lo").withColumn("value", (F.shiftleft("hi", 16) + F.col("lo") - 2**31).cast("int"))
+    return middle.select("node_id", "by_lat", F.when(F.col("value") > F.col("least"), F.col("value")).otherwise(F.col("above")).alias("split_value"))
 
 
 def route(rows: DataFrame, splits: DataFrame) -> DataFrame:

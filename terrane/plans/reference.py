@@ -281,7 +281,7 @@ def median_split(spark, d):
     from terrane.operators.ranking import nth_value
 
     o = materialize(map_objects(spark, d).select(F.lit(1).alias("g"), "mid_lat"))
-    m = nth_value(o, ["g"], "mid_lat", o.groupBy("g").agg(F.floor(F.count(F.lit(1)) / 2).alias("k")))
+    m = nth_value(o, "g", "mid_lat", o.groupBy("g").agg(F.floor(F.count(F.lit(1)) / 2).alias("k")))
     return o.join(F.broadcast(m), "g").groupBy(F.col("value").alias("split_value")).agg(F.count(F.when(F.col("mid_lat") < F.col("value"), 1)).alias("below"), F.count(F.lit(1)).alias("items"))
 
 

@@ -47,7 +47,7 @@ def test_no_objects(spark):
 def test_nth_value(spark, values):
     df = spark.createDataFrame([(1, v) for v in values], "g int, v int")
     for k in (0, 500, 999):
-        assert nth_value(df, ["g"], "v", spark.createDataFrame([(1, k)], "g int, k bigint")).first().value == sorted(values)[k]
+        assert nth_value(df, "g", "v", spark.createDataFrame([(1, k)], "g int, k bigint")).first().value == sorted(values)[k]
 
 
 def test_ranked(spark):
