@@ -3,9 +3,11 @@
 What ends in a period is learned without labels, for each language from the whole corpus: how often a word has a period
 behind it against how often it hasn't (a log-likelihood ratio tells abbreviations from words that end sentences), whether
 what carries the period also stands before ``?``, ``!`` and pauses (then it may end a sentence) or before numbers, which
-words follow an ordinal number's period, and which follow quoted speech after a comma. Each period, mark and pause is
-then classified by these statistics and by the case of what follows; texts in one case, or of scripts without case, go by
-the statistics alone.
+words follow an ordinal number's period, and which follow quoted speech after a comma. With the abbreviations known, two
+more log-likelihood ratios tell the sentence starters (words that follow an end mark more often than they occur
+elsewhere) and the collocations (words that follow the period of an abbreviation, initial or number more often than they
+occur elsewhere, and are no starters). Each period, mark and pause is then classified by these statistics and by the case
+of what follows; texts in one case, or of scripts without case, go by the statistics alone.
 
 The notation is masked place by place before: cue heads, markup, sound descriptions, songs and dialogue dashes. Places
 are those of Unicode characters in the text as it is stored.
@@ -123,7 +125,8 @@ def _letter_case(t: str) -> str:
 
 
 class Model:
-    """What was learned of one language: abbreviations by kind, followers of ordinals, and verbs after speech."""
+    """What was learned of one language: abbreviations by kind, followers of ordinals, verbs after speech, sentence
+    starters, and collocations (abbreviation, initial or ``NUMBER``; next word or ``NUMBER``)."""
 
     def __init__(self):
         self.title: set[str] = set()
@@ -131,6 +134,8 @@ class Model:
         self.last: set[str] = set()
         self.ordinal: set[str] = set()
         self.verb: set[str] = set()
+        self.starter: set[str] = set()
+        self.joined: set[tuple[str, str]] = set()
 
 
 _TOKEN = re.compile(r"^[^\w�]*(.*?)([.!?…,;:\"'”’»“«)\]।።؟،։]*)$", re.S)
@@ -139,11 +144,23 @@ _BEFORE_NUMBER = re.compile(r"([^\s.,!?]+)\.[ \r\n]{1,2}\d")
 _SAID = re.compile("[,،፣،](?:[\"'”’»“」』])[ \\r\\n]{1,2}([^\\W\\d_][^\\s.,!?\"'”»]*)")
 
 
+#: Stands for all numbers; what a word after a mark may be; and the marks counted before such words.
+NUMBER = "#"
+_FOLLOWER = re.compile(r"[\"'“„«‘「『¿¡]*([^\s\x01-\x04.,!?\"'”»:;…]*)(:?)")
+_ENDING = frozenset(".?!।॥።፧؟։")
+
+
+def _form(w: str) -> str:
+    """A word as it is counted after a mark, or nothing if it is none."""
+    return NUMBER if w[:1].isdigit() else w.rstrip("।॥።፧؟։،፣、)]") if w[:1].isalpha() else ""
+
+
 class Evidence:
-    """Counts of one batch of texts: (language, what, word)."""
+    """Counts of one batch of texts: (language, what, word, next word or None)."""
 
     def __init__(self):
         self.raw: dict[str, Counter] = {}
+        self.pairs: dict[str, Counter] = {}
         self.into: Counter = Counter()
 
     def add(self, text: str, hint: str | None) -> None:
@@ -154,25 +171,45 @@ class Evidence:
         if lang in ("zh", "ja", "th"):
             return
         if lang not in self.raw:
-            self.raw[lang] = Counter()
-        self.raw[lang].update(t.split())
+            self.raw[lang], self.pairs[lang] = Counter(), Counter()
+        tokens = t.split()
+        self.raw[lang].update(tokens)
+        self.pairs[lang].update(x for x in zip(tokens, tokens[1:]) if x[0][-1] in _ENDING)
         for what, found in (("ordinal", _ORDINAL), ("number", _BEFORE_NUMBER), ("said", _SAID)):
             for w in found.findall(t):
-                self.into[lang, what, w.lower().lstrip("\"'“«„(¿¡-")] += 1
+                self.into[lang, what, w.lower().lstrip("\"'“«„(¿¡-"), None] += 1
 
     def counts(self) -> Counter:
         into = self.into
         for lang, raws in self.raw.items():
             for raw, n in raws.items():
+                if form := _form(_FOLLOWER.match(raw)[1].lower()):
+                    into[lang, "any", form, None] += n
                 word, tail = _TOKEN.match(raw).groups()
                 word = word.lower()
                 if not word or word[0].isdigit():
                     continue
-                into[lang, "all", word] += n
+                into[lang, "all", word, None] += n
                 if tail[:1] == "." and tail[1:2] not in (".", "?", "!"):
-                    into[lang, "dot", word] += n
+                    into[lang, "dot", word, None] += n
                 elif tail[:1] and tail[0] in "!?….":
-                    into[lang, "mark", word] += n
+                    into[lang, "mark", word, None] += n
+        for lang, pairs in self.pairs.items():
+            for (raw, after), n in pairs.items():
+                follower, label = _FOLLOWER.match(after).groups()
+                form = _form(follower.lower())
+                if not form or label:  # a speaker's name begins its sentence, but says nothing of the name elsewhere
+                    continue
+                if raw[-1] != ".":
+                    into[lang, "start", form, None] += n
+                elif raw[-2:-1] not in (".", "?", "!", "…"):
+                    word = _TOKEN.match(raw)[1].lower()
+                    if word.isdigit() and len(word) <= 2:
+                        word = NUMBER
+                    if word:
+                        into[lang, "pair", word, form] += n
+                        if follower[0].isupper() and not follower.isupper():
+                            into[lang, "capital", word, form] += n
         return into
 
 
@@ -194,12 +231,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
                     seen.add(text, hint)
             into = seen.counts()
             keys = list(into)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(into.values()), pa.int64())], names=["lang", "what", "word", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array(list(into.values()), pa.int64())], names=["lang", "what", "word", "next", "n"])
 
     hint = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    counts = docs.select(F.col(text_col).cast("string").alias("text"), hint.alias("hint")).mapInArrow(run, "lang string, what string, word string, n bigint")
+    counts = docs.select(F.col(text_col).cast("string").alias("text"), hint.alias("hint")).mapInArrow(run, "lang string, what string, word string, next string, n bigint")
     of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
-    words = counts.groupBy("lang", "word").agg(*[of(w).alias(w) for w in ("all", "dot", "mark", "ordinal", "number", "said")])
+    words = counts.groupBy("lang", "word", "next").agg(*[of(w).alias(w) for w in ("all", "dot", "mark", "ordinal", "number", "said", "any", "start", "pair", "capital")])
     # what passes grows with the number of languages only
     telling = (F.col("dot") >= LEAST) & (F.col("dot") * 5 >= F.col("all") * 2) | (F.col("ordinal") >= LEAST) | (F.col("said") >= LEAST)
     from terrane.session import materialize, release
@@ -210,7 +247,6 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("dot") + F.col("ordinal") + F.col("said")), "word"))
     rows = words.filter("telling").withColumn("rank", rank).filter(F.col("rank") <= MOST).drop("rank").collect()
-    release(words)
     models: dict[str, Model] = {lang: Model() for lang in totals}
     said = Counter()
     for r in rows:
@@ -228,9 +264,49 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
             m.ordinal.add(w)
         if r["said"] >= LEAST and r["said"] * 50 >= said[r["lang"]]:
             m.verb.add(w)
+    known = docs.sparkSession.createDataFrame([(lang, w, w in m.last) for lang, m in models.items() for w in m.title | m.number | m.last], "lang string, word string, last boolean")
+    starters, joined = _neighbours(words, known)
+    for r in starters.collect():
+        models[r["lang"]].starter.add(r["word"])
+    for r in joined.collect():
+        models[r["lang"]].joined.add((r["word"], r["next"]))
+    release(words)
     return models
 
 
+#: Least log-likelihood ratios of sentence starters and of collocations.
+STARTER, COLLOCATION = 30.0, 7.88
+
+
+def _attracted(k1, n1, k2, n2, least: float):
+    """Whether k1 of n1 is a larger share than k2 of n2, by a log-likelihood ratio of ``least`` or more."""
+    share = lambda k, n: k / F.greatest(n, F.lit(1))
+    part = lambda k, p: F.when(k > 0, k * F.log(p)).otherwise(0.0)
+    fit = lambda k, n, p: part(k, p) + part(n - k, 1 - p)
+    both = share(k1 + k2, n1 + n2)
+    ratio = 2 * (fit(k1, n1, share(k1, n1)) + fit(k2, n2, share(k2, n2)) - fit(k1, n1, both) - fit(k2, n2, both))
+    return (share(k1, n1) > share(k2, n2)) & (ratio >= least)
+
+
+def _neighbours(words: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentence starters (lang, word) and collocations (lang, word, next), from all counts and the ``known`` abbreviations.
+
+    A sentence starts behind a period that belongs to no abbreviation, and with a capital behind one that may end it.
+    """
+    c = F.col
+    pairs = words.filter(c("next").isNotNull()).select("lang", "word", "next", "pair", "capital").join(known, ["lang", "word"], "left")
+    held = c("last").isNotNull() | (c("word") == NUMBER)
+    more = pairs.groupBy("lang", c("next").alias("word")).agg(F.sum(F.when(~held, c("pair")).when(c("last"), c("capital")).otherwise(0)).alias("more"))
+    types = words.filter(c("next").isNull() & (c("any") > 0)).join(more, ["lang", "word"], "left").select("lang", "word", "any", (c("start") + F.coalesce("more", F.lit(0))).alias("begins"))
+    sums = types.groupBy("lang").agg(F.sum("any").alias("n"), F.sum("begins").alias("b"))
+    starters = types.join(sums, "lang").filter((c("begins") > 0) & (c("word") != NUMBER) & _attracted(c("begins"), c("any"), c("b") - c("begins"), c("n") - c("any"), STARTER)).select("lang", "word")
+    first = pairs.filter(held).groupBy("lang", "word").agg(F.sum("pair").alias("first"))
+    after = types.select("lang", c("word").alias("next"), "any").join(sums.select("lang", "n"), "lang")
+    found = pairs.filter(held & (c("pair") > 1)).join(first, ["lang", "word"]).join(after, ["lang", "next"])
+    found = found.filter(_attracted(c("pair"), c("first"), c("any") - c("pair"), c("n") - c("first"), COLLOCATION))
+    return starters, found.join(starters.select("lang", c("word").alias("next")), ["lang", "next"], "left_anti").select("lang", "word", "next")
+
+
 def _abbreviation(w: str, k: int, n: int, dots: int, total: int) -> bool:
     """Whether a period belongs to ``w``: k of its n uses have one, of all words dots in total."""
     parts = w.split(".")
@@ -347,8 +423,7 @@ def _apostrophes(t: str, lo: int, hi: int, c: str) -> int:
 
 
 def _next_word(t: str, k: int, hi: int) -> str:
-    m = re.compile(r"[\"'“„«‘「『¿¡]*([^\s\x01-\x04.,!?\"'”»:;…]*)").match(t, k, hi)
-    return m[1].lower()
+    return _FOLLOWER.match(t, k, hi)[1].lower()
 
 
 def _ends(t, start, i, e, j, k, hi, nxt, mark, quoted, lang, model, letter, cased) -> bool:
@@ -369,19 +444,23 @@ def _ends(t, start, i, e, j, k, hi, nxt, mark, quoted, lang, model, letter, case
         while w > start and t[w - 1] not in " \t\r\n\xa0\x01\x02\"“„«(¿¡":
             w -= 1
         word = t[w:i].lower().lstrip("'-–—")
-        if nxt.isdigit():
-            return word not in model.number and word not in model.title
         if cased and nxt.islower():
             return False
-        if word.isdigit() and len(word) <= 2:
-            return _next_word(t, k, hi) not in model.ordinal
+        follower = _next_word(t, k, hi)
+        count = word.isdigit() and len(word) <= 2
+        if (NUMBER if count else word, _form(follower)) in model.joined and not (cased and word in model.last):
+            return False
+        if nxt.isdigit():
+            return word not in model.number and word not in model.title
+        if count:
+            return follower not in model.ordinal
         if word in model.last:
             return True
         if len(word) == 1 and _pair(t, i, start):
             return False
         if len(word) == 1 and cased and t[i - 1].isupper():
             return False
-        return word not in model.title
+        return word not in model.title or len(word) > 1 and _form(follower) in model.starter
     if mark in ("...", "…", "..", "....", "……") and cased and nxt.isalpha():
         return not nxt.islower()
     return True

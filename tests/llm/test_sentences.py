@@ -149,6 +149,27 @@ def test_learned_from_a_corpus(spark):
     assert len(got & want) / len(got | want) > 0.99
 
 
+def test_starters_and_collocations(spark):
+    """Where case doesn't tell, the word behind an abbreviation does: one that starts sentences, or one that goes with it."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        words = [rng.choice(WORDS) for _ in range(6)]
+        kind = rng.random()
+        if kind < 0.3:
+            words.insert(0, "therefore")
+        elif kind < 0.6:
+            words[3:3] = ["halvo", "co.", "ltd"]
+        end = "." if kind < 0.8 else " co?" if kind < 0.9 else " etc."
+        texts.append(" ".join(words) + end)
+    docs = [(i, " ".join(texts[i : i + 10]), "en") for i in range(0, 300, 10)]
+    models = S.learn(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert models["en"].starter == {"therefore"} and ("co", "ltd") in models["en"].joined and not any(b == "therefore" for _, b in models["en"].joined)
+    assert cut("roads went over halvo co. ltd winter etc. therefore letters asked. quiet co. therefore river", "en", models) == [
+        "roads went over halvo co. ltd winter etc.", "therefore letters asked.", "quiet co.", "therefore river",
+    ]
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", "en"), (3, "One. Two.", "klingon")], "doc_id bigint, text string, lang string")
     assert {tuple(r) for r in S.sentences(df, S.learn(df)).collect()} == {(3, 0, 4), (3, 5, 9)}
