@@ -213,14 +213,14 @@ class Evidence:
         return into
 
 
-#: A word of a language's model has been seen so often; it bounds the models, which are sent to all tasks.
-LEAST, MOST = 5, 5000
+#: A word of a language's model has been seen so often.
+LEAST = 5
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> dict[str, Model]:
     """Models of every language from all of ``docs``: partial counts, one shuffle of words, and what passes the tests.
 
-    At most ``MOST`` words a language and kind of evidence come to the driver, those with the most of it.
+    The words that pass come to the driver, and are sent to all tasks; they are a language's, whatever the number of texts.
     """
 
     def run(batches):
@@ -237,33 +237,21 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
     counts = docs.select(F.col(text_col).cast("string").alias("text"), hint.alias("hint")).mapInArrow(run, "lang string, what string, word string, next string, n bigint")
     of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
     words = counts.groupBy("lang", "word", "next").agg(*[of(w).alias(w) for w in ("all", "dot", "mark", "ordinal", "number", "said", "any", "start", "pair", "capital")])
-    # what passes grows with the number of languages only
-    telling = (F.col("dot") >= LEAST) & (F.col("dot") * 5 >= F.col("all") * 2) | (F.col("ordinal") >= LEAST) | (F.col("said") >= LEAST)
     from terrane.session import materialize, release
 
-    words = materialize(words.withColumn("telling", telling))
-    totals = {r["lang"]: (r["dots"], r["n"]) for r in words.groupBy("lang").agg(F.sum("dot").alias("dots"), F.sum("all").alias("n")).collect()}
-    from pyspark.sql import Window
+    words = materialize(words)
+    totals = {r["lang"]: (r["dots"], r["n"], r["said"]) for r in words.groupBy("lang").agg(F.sum("dot").alias("dots"), F.sum("all").alias("n"), F.sum("said").alias("said")).collect()}
+    telling = (F.col("dot") >= LEAST) & (F.col("dot") * 5 >= F.col("all") * 2) | (F.col("ordinal") >= LEAST) | (F.col("said") >= LEAST)
+    rows = words.filter(telling).select("lang", "word", "all", "dot", "mark", "ordinal", "number", "said")
+
+    def passing(batches):
+        for b in batches:
+            found = [(r["lang"], r["word"], kind) for r in b.to_pylist() for kind in _kinds(r, *totals[r["lang"]])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["lang", "word", "kind"])
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("dot") + F.col("ordinal") + F.col("said")), "word"))
-    rows = words.filter("telling").withColumn("rank", rank).filter(F.col("rank") <= MOST).drop("rank").collect()
     models: dict[str, Model] = {lang: Model() for lang in totals}
-    said = Counter()
-    for r in rows:
-        said[r["lang"]] += r["said"]
-    for r in rows:
-        m, w = models[r["lang"]], r["word"]
-        if r["dot"] >= LEAST and _abbreviation(w, r["dot"], max(r["all"], r["dot"]), *totals[r["lang"]]):
-            if r["mark"] * 20 >= r["dot"] + r["mark"]:
-                m.last.add(w)
-            elif r["number"] * 2 >= r["dot"]:
-                m.number.add(w)
-            else:
-                m.title.add(w)
-        if r["ordinal"] >= LEAST and r["ordinal"] * 2 >= r["all"]:
-            m.ordinal.add(w)
-        if r["said"] >= LEAST and r["said"] * 50 >= said[r["lang"]]:
-            m.verb.add(w)
+    for r in rows.mapInArrow(passing, "lang string, word string, kind string").collect():
+        getattr(models[r["lang"]], r["kind"]).add(r["word"])
     known = docs.sparkSession.createDataFrame([(lang, w, w in m.last) for lang, m in models.items() for w in m.title | m.number | m.last], "lang string, word string, last boolean")
     starters, joined = _neighbours(words, known)
     for r in starters.collect():
@@ -307,6 +295,18 @@ def _neighbours(words: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     return starters, found.join(starters.select("lang", c("word").alias("next")), ["lang", "next"], "left_anti").select("lang", "word", "next")
 
 
+def _kinds(r: dict, dots: int, total: int, said: int) -> list[str]:
+    """The sets of its language's model that a word is in, by its counts and the language's totals."""
+    out = []
+    if r["dot"] >= LEAST and _abbreviation(r["word"], r["dot"], max(r["all"], r["dot"]), dots, total):
+        out.append("last" if r["mark"] * 20 >= r["dot"] + r["mark"] else "number" if r["number"] * 2 >= r["dot"] else "title")
+    if r["ordinal"] >= LEAST and r["ordinal"] * 2 >= r["all"]:
+        out.append("ordinal")
+    if r["said"] >= LEAST and r["said"] * 50 >= said:
+        out.append("verb")
+    return out
+
+
 def _abbreviation(w: str, k: int, n: int, dots: int, total: int) -> bool:
     """Whether a period belongs to ``w``: k of its n uses have one, of all words dots in total."""
     parts = w.split(".")
