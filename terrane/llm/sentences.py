@@ -86,7 +86,9 @@ def normal_lang(lang: str | None) -> str:
 
 def language(text: str, hint: str | None) -> str:
     """The language by the text's script and, among Latin ones, by function words; the hint decides where these don't."""
-    seen = Counter(map(_block, text[:: len(text) // 500 + 1]))
+    seen = Counter()
+    for c, n in Counter(text).items():
+        seen[_block(c)] += n
     seen.pop("", None)
     hint = normal_lang(hint)
     latin = seen.pop("latin", 0)
@@ -112,8 +114,8 @@ _AFTER_MARK = re.compile("[.?!…][" + WS + "]+([^\\W\\d_])")
 
 def _letter_case(t: str) -> str:
     """'mixed', or 'lower' or 'upper' for texts in one case: by their letters, and by those that follow end marks."""
-    sample = t[:: len(t) // 1500 + 1]
-    upper, lower = sum(map(str.isupper, sample)), sum(map(str.islower, sample))
+    seen = Counter(t).items()
+    upper, lower = sum(n for c, n in seen if c.isupper()), sum(n for c, n in seen if c.islower())
     if upper > 2 * lower:
         return "upper"
     if upper > 0.12 * lower:

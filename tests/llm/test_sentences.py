@@ -105,6 +105,12 @@ def test_long_text():
     assert len(S.spans("x" * 1_000_000, None, EMPTY)) == 1
 
 
+def test_long_texts_are_classed_by_all_their_letters():
+    """Places in step hold Latin letters or capitals only; the text as a whole doesn't."""
+    assert S.language("aбвг" * 400, "en") == "ru" and S.language("aбвг" * 50_000, "en") == "ru"
+    assert S._letter_case("Abc" * 1100) == "mixed" and S._letter_case("Abcdefghi" * 100 + "b" * 200_000) == "lower"
+
+
 WORDS = "winter roads letters table under over captain lantern clock brother river keeps knows asked told small quiet".split()
 NAMES = "Ulmer Besna Halvo Ferola Pimela Quist".split()
 
