@@ -38,9 +38,9 @@ OPEN = "\"'“„«‘‚「『‹»”"
 CLOSE = "\"'”’»」』›“«"
 WS = " \t\r\n\xa0\x01\x02"
 
-_HEAD = re.compile(r"(?m)^(?:\ufeff?[ \t]*\d+[ \t]*\r?\n)?\ufeff?[ \t]*\d+:\d\d[^\n>]{0,40}->[^\n]*\n?|^\ufeff?WEBVTT[^\n]*\n?(?:(?:Kind|Language|X-TIMESTAMP-MAP|NOTE|STYLE|REGION)\b[^\n]*\n)*|^\ufeff?\{\d+\}\{\d+\}(?:(?<=\{1\}\{1\})\d+\.\d+(?=\r?\n|\Z))?")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|\{(?:\\|[A-Za-z]:)[^{}\n]{0,80}\}")
-_SOUND = re.compile(r"[\[(（［【*♪♫♬♩](?:(?<=\[)[^\[\]\x01]{0,400}\]|(?<=\()[^()\x01]{0,400}\)|(?<=（)[^（）\x01]{0,400}）|(?<=［)[^［］\x01]{0,400}］|(?<=【)[^【】\x01]{0,400}】|(?<=\*)[^*\n\x01]{1,200}\*|(?<=[♪♫♬♩])(?:[～〜~]+|(?=[ \t\r]*(?:\n|\Z|\x01))|[^\n\x01♪♫♬♩]*[♪♫♬♩]+|[^\x01♪♫♬♩]*[♪♫♬♩]+|[^\n\x01]*))")
+_HEAD = re.compile(r"(?m)^(?:\ufeff?[ \t]*\d+[ \t]*\r?\n)?\ufeff?[ \t]*\d+:\d\d[^\n>]*->[^\n]*\n?|^\ufeff?WEBVTT[^\n]*\n?(?:(?:Kind|Language|X-TIMESTAMP-MAP|NOTE|STYLE|REGION)\b[^\n]*\n)*|^\ufeff?\{\d+\}\{\d+\}(?:(?<=\{1\}\{1\})\d+\.\d+(?=\r?\n|\Z))?")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|\{(?:\\|[A-Za-z]:)[^{}\n]*\}")
+_SOUND = re.compile(r"[\[(（［【*♪♫♬♩](?:(?<=\[)[^\[\]\x01]*\]|(?<=\()[^()\x01]*\)|(?<=（)[^（）\x01]*）|(?<=［)[^［］\x01]*］|(?<=【)[^【】\x01]*】|(?<=\*)[^*\n\x01]+\*|(?<=[♪♫♬♩])(?:[～〜~]+|(?=[ \t\r]*(?:\n|\Z|\x01))|[^\n\x01♪♫♬♩]*[♪♫♬♩]+|[^\x01♪♫♬♩]*[♪♫♬♩]+|[^\n\x01]*))")
 _DASH = re.compile(r"(?m)(?:^|(?<=\x01))([ \t\xa0\ufeff\x02]*)([-–—]+)(?=[ \t\xa0\x02]*[^\s\x01\x02\x03\-–—])")
 _MARKS = {"": ".!?…", "el": ".!?…;;", "hy": ".!?…։", "ar": ".!?…؟", "hi": ".!?…।॥", "am": ".!?…።፧", "zh": ".!?…。！？", "ja": ".!?…。！？", "th": ".!?…"}
 _TERM = {k: re.compile(f"[{re.escape(v)}][{re.escape(v)}]*") for k, v in _MARKS.items()}
@@ -166,7 +166,7 @@ class Evidence:
         self.into: Counter = Counter()
 
     def add(self, text: str, hint: str | None) -> None:
-        t = _SOUND.sub("\n", _HEAD.sub("\n", text))
+        t = _SOUND.sub("\n", _HEAD.sub(GAP, text)).replace(GAP, "\n")  # no description runs over a cue
         if "<" in t:
             t = _TAG.sub("", t)
         lang = language(t, hint)

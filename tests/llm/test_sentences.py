@@ -1,6 +1,7 @@
 """Sentence spans: small texts whose spans are known, and a corpus made of known sentences."""
 
 import random
+import time
 
 from terrane.llm import sentences as S
 
@@ -47,6 +48,22 @@ def test_sounds_part_sentences():
     assert cut("We went (sighs) home. *coughs* Then [Clock ticks. Clock stops.] we slept") == ["We went", "home.", "Then", "we slept"]
 
 
+def test_masks_of_any_length():
+    long = "Clock ticks. " * 60
+    for mark in ("[{}]", "({})", "（{}）", "［{}］", "【{}】", "*{}*", '<font face="{}">', "{{\\fn{}}}"):
+        assert cut("We went. " + mark.format(long) + " They slept.") == ["We went.", "They slept."], mark
+    assert cut("1\n00:00:01,000 " + "x" * 60 + " --> 00:00:02,000\nYes.") == ["Yes."]
+    t = SRT.format("We (went home.", "They) slept.")
+    assert cut(t)[0] == "We (went home."
+    e = S.Evidence()
+    e.add(t, "en")
+    assert e.raw["en"]["home."] == 1
+    began = time.time()
+    for c in ("[", "(", "*", "<a ", "{\\", "1:00 -", "♪"):
+        S.mask(c * 200_000)
+    assert time.time() - began < 20
+
+
 def test_songs():
     t = SRT.format("♪～\n雨が。\n♪～", "♪ la la ♪ Yes.\n♫ hm\nhm ♫ No. ♪ open end\nWell.")
     assert cut(t, "ja") == ["雨が。", "Yes.", "No.", "Well."]
