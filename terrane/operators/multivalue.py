@@ -1,8 +1,8 @@
 """Several values packed in one field: one row for each item, with its position.
 
 Every distinct value becomes a lattice: quoted spans are atoms, escaped characters are text, and each punctuation mark
-outside them, tab or line break is a place where the value may be cut. A segment joins neighbouring atoms, so that
-"a/b" may be two items or one. How often each item occurs, and how often each mark is a delimiter under its key, is
+outside them, tab or line break is a place where the value may be cut. A segment joins neighbouring atoms, any number of
+them between undecided marks, so that "a/b" may be two items or one; its item is the text as it stands. How often each item occurs, and how often each mark is a delimiter under its key, is
 learned from the whole column by expectation-maximisation: the E step weighs the segmentations of each lattice by a
 forward-backward pass, the M step adds the weights up over all values. Viterbi then takes the best path.
 
@@ -15,7 +15,7 @@ Quotes open at the start of an item only, and close before the next delimiter or
 
 Defined results: null and empty values have no items; items are trimmed and empty ones are dropped before positions are
 counted; rows repeated in full give one result; values of any length are split whole (the work and memory of a value
-are linear in it); an empty table, or no keys, gives no rows; extra columns are never read.
+are linear in it, but for runs of undecided marks: all segments of a run of n atoms are tried, n * n / 2 of them); an empty table, or no keys, gives no rows; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "
 ESCAPE = "\\"
 _TEXT = frozenset([*QUOTES, *QUOTES.values(), ESCAPE, "_"])
 HARD = "\t\n\r"
-#: Atoms that one segment may join.
-SPAN = 2
 ITERATIONS = 2
 PRIOR = 1000.0
 #: Marks that part items wherever they aren't a key's inner characters.
@@ -79,39 +77,51 @@ def _closed(v: str, i: int, inner: frozenset) -> tuple[int, str] | None:
     return None
 
 
-def atoms(v: str, inner: str) -> tuple[list[str], list[str]]:
-    """The trimmed atoms of a value (some empty) and the marks between them, one less."""
+def atoms(v: str, inner: str) -> tuple[list[str], list[str], list[str]]:
+    """The trimmed atoms of a value (some empty), the marks between them, one less, and these with the blanks around them."""
     held = frozenset(inner)
-    texts, marks, own, i, start = [], [], [], 0, True
+    texts, marks, links, own, lead, i, start = [], [], [], [], "", 0, True
+
+    def end() -> None:
+        raw = "".join(own)
+        texts.append(raw.strip())
+        if marks:
+            links[-1] += lead + raw[: len(raw) - len(raw.lstrip())]
+        links.append(raw[len(raw.rstrip()) :] if texts[-1] else "")
+
     while i < len(v):
         c = v[i]
         if c == ESCAPE and i + 1 < len(v):
             own.append(v[i + 1])
             i, start = i + 2, False
         elif start and c in QUOTES and (span := _closed(v, i, held)):
-            own, i, start = [span[1]], span[0], False
+            lead, own, i, start = "".join(own), [span[1]], span[0], False
         elif c in HARD or (c not in held and _punctuation(c)):
-            texts.append("".join(own).strip())
+            end()
             marks.append(c)
-            own, i, start = [], i + 1, True
+            links[-1] += c
+            own, lead, i, start = [], "", i + 1, True
         else:
             own.append(c)
             i, start = i + 1, start and c.isspace()
-    texts.append("".join(own).strip())
-    return texts, marks
+    end()
+    return texts, marks, links[:-1]
 
 
-def segments(texts: list[str], marks: list[str]) -> list[tuple[int, int, str]]:
-    """(first, last, item) of every segment of the lattice; empty atoms are joined with nothing."""
-    out = []
+def segments(texts: list[str], marks: list[str], links: list[str] | None = None) -> list[tuple[int, int, str]]:
+    """(first, last, item) of every segment of the lattice; empty atoms are joined with nothing, and by marks that part
+    items wherever they stand no more than two are."""
+    out, links = [], marks if links is None else links
     for i, t in enumerate(texts):
         out.append((i, i, t))
         item = t
-        for j in range(i + 1, min(i + SPAN, len(texts))):
-            if not item or not texts[j] or marks[j - 1] in HARD:
+        for j in range(i + 1, len(texts)):
+            if not item or not texts[j] or marks[j - 1] in HARD or j > i + 1 and marks[j - 1] in DELIMITERS:
                 break
-            item += marks[j - 1] + texts[j]
+            item += links[j - 1] + texts[j]
             out.append((i, j, item))
+            if marks[j - 1] in DELIMITERS:
+                break
     return out
 
 
@@ -164,8 +174,8 @@ def _lattices(batches):
     for b in batches:
         marks, first, last, items, sizes = [], [], [], [], ([], [], [])
         for v, inner in zip(b.column("v").to_pylist(), b.column("inner").to_pylist()):
-            t, m = atoms(v, inner or "")
-            segs = segments(t, m)
+            t, m, links = atoms(v, inner or "")
+            segs = segments(t, m, links)
             marks += m
             for i, j, item in segs:
                 first.append(i)

@@ -68,6 +68,14 @@ def test_unknown_mark_is_learned(spark):
     assert got[(1, 1, "sport")] == ["chess", "golf"] and got[(1, 2, "sport")] == ["rock+roll"]
 
 
+def test_items_of_several_unknown_marks_are_kept_as_they_stand(spark):
+    rows = [(0, i, "sport", x) for i, x in enumerate(["chess", "golf", "judo"] * 200)] + [(1, i, "sport", x) for i, x in enumerate(["rock-n-roll", "1.2.3.4", "hide - seek ;golf"] * 40)] + [(2, 1, "sport", "chess+golf+judo")]
+    got = run(spark, rows)
+    assert [got[(1, i, "sport")] for i in range(3)] == [["rock-n-roll"], ["1.2.3.4"], ["hide - seek", "golf"]]
+    assert got[(2, 1, "sport")] == ["chess", "golf", "judo"]
+    assert mv.segments(*mv.atoms('a -  b+ "c d" -e', ""))[3] == (0, 3, "a -  b+ c d -e")
+
+
 def test_path_against_all_segmentations():
     import itertools
     import math
