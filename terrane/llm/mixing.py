@@ -92,7 +92,10 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
             n = min(int(room[at] - take[at]), max(1, (left - FIT // 2) // int(size[at])))
             take[at] += n
             left -= n * int(size[at])
-        take += fit(size, room - take, min(left, FIT))
+        if left > FIT:  # free lengths are over left - FIT / 2, so that no two fit: the longest that does
+            take[np.nonzero((take < room) & (size <= left))[0][-1:]] += 1
+        else:
+            take += fit(size, room - take, left)
     return pd.DataFrame({"source": pdf["source"], "n_tokens": size, "copies": take})
 
 

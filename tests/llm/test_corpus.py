@@ -133,6 +133,15 @@ def test_fit_reaches_the_best_sum():
         assert (took * size).sum() == max(x for x in sums if x <= budget)
 
 
+def test_long_documents_only():
+    """A copy longer than the programme's usual reach is taken where it fits."""
+    import pandas as pd
+
+    for lengths, docs, budget, want in (([20_000], [10], 27_000, [1]), ([15_000, 40_000], [2, 3], 75_000, [2, 1]), ([20_000, 23_000], [9, 9], 66_500, [1, 2])):
+        pdf = pd.DataFrame({"source": "a", "n_tokens": lengths, "docs": docs, "budget": budget, "max_repeats": 1})
+        assert mixing._choose(pdf)["copies"].tolist() == want
+
+
 def mix(spark, docs, targets, total=None):
     counted = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
     t = spark.createDataFrame(targets, "source string, weight double, max_repeats int")
