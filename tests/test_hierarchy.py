@@ -3,6 +3,8 @@ import random
 import pytest
 
 from terrane.operators import hierarchy
+from terrane.plans import registry
+from tests.oracle import connect, same
 
 
 def brute(links):
@@ -79,3 +81,15 @@ def test_links_of_relations(spark):
     schema = "id bigint, members array<struct<type:tinyint,ref:bigint,role:string>>, version int, visible boolean, child string"
     rows = [(1, [(2, 2, "a"), (2, 2, "b"), (2, None, "c"), (None, 3, "d"), (1, 3, "e"), (2, 9, "f"), (2, 4, "g")], 2, None, "x"), (1, [(2, 3, "")], 1, True, "x"), (2, [], 1, True, "x"), (3, None, 1, True, "x"), (4, [], 1, False, "x"), (None, [(2, 3, "")], 1, True, "x")]
     assert {tuple(r) for r in hierarchy.relation_links(spark.createDataFrame(rows, schema)).collect()} == {(2, 1)}
+
+
+@pytest.mark.parametrize("size, base_size", [("sf0.1", hierarchy.BASE), ("sf0.01", 0)])
+def test_query_contracts(spark, monkeypatch, size, base_size):
+    """The registered query against SQL where rounds run: on more links than one task follows, and to the very end."""
+    rounds = []
+    real = hierarchy._round
+    monkeypatch.setattr(hierarchy, "_round", lambda links, i: (rounds.append(i), real(links, i))[1])
+    monkeypatch.setattr(hierarchy.hierarchies, "__defaults__", (base_size,))
+    d = f"/root/testdata/{size}"
+    same(registry.QUERIES["p2_found"](spark, d), connect(d), registry.SQL["p2_found"])
+    assert rounds
