@@ -4,15 +4,15 @@ Links (child, parent) form trees of unknown depth, or circles with trees below t
 with a parent and no child) and compresses unary chains: a node with one child is spliced out if it draws a lower number
 in the round than its parent and its child, and its child's link then leads past it. Every link carries the ids it stands
 for. A constant share of the nodes goes in each round, whatever the shape, so rounds grow with the logarithm of the
-number of nodes. What no round can remove are the circles: they shrink to a node linked to itself. The last links, at
-most ``BASE`` of them, are followed by one task.
+number of nodes. What no round can remove are the circles: they shrink to a node linked to itself.
 
 The recorded contractions are then reversed, last round first: the end of each is resolved by then, and gives its root,
 depth and path to the node, with the carried ids put between. Nodes removed under a circle are on it if the child they
 had is, else below.
 
-Each round is a handful of joins and aggregates on the ids; links and records are tables in the shared folder, and the
-driver sees only counts. A parent of a third of all nodes is pre-aggregated when children are counted, and raked
+Each round is a handful of joins and aggregates on the ids, written by one job that also counts the links left; links and
+records are tables in the shared folder, and the driver sees only counts. Links shrink by a constant share a round, and
+results grow by as much a reversed round, so that all rounds together read a small multiple of the links. A parent of a third of all nodes is pre-aggregated when children are counted, and raked
 children aren't joined with it until the end, where its side of the join is a single row.
 
 Defined results: links with a null end are none; repeated links count once; of several parents of a child the least id
@@ -21,15 +21,12 @@ is kept; a node linked to itself is a circle; an empty table gives no rows; extr
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrane.session import materialize, release, together
 
 ON_CIRCLE, BELOW_CIRCLE = -1, -2
-#: Links left by the rounds that one task may solve.
-BASE = 1000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -41,31 +38,8 @@ def _draw(c: str, i: int):
     return F.xxhash64(F.col(c), F.lit(i))
 
 
-def follow(links: pd.DataFrame) -> pd.DataFrame:
-    """(id, root_id, depth, path) of each node with a link, by following the links; ``circle`` is the root of a parent
-    that is a circle found before, or null."""
-    up = {r.v: r for r in links.itertuples()}
-    out: dict[int, tuple[int, int, str]] = {}
-    for v in up:
-        way, on = [], set()
-        while v in up and v not in out and v not in on:
-            way.append(v)
-            on.add(v)
-            v = up[v].p
-        if v in on:  # a circle that is met for the first time
-            ring = way[way.index(v) :]
-            least = min(up[x].least for x in ring)
-            out |= {x: (least, ON_CIRCLE, "") for x in ring}
-            way = way[: -len(ring)]
-        for x in reversed(way):
-            r = up[x]
-            root, depth, path = out.get(r.p) or ((r.p, 0, str(r.p)) if r.circle is None or pd.isna(r.circle) else (int(r.circle), ON_CIRCLE, ""))
-            out[x] = (root, depth + r.n, f"{path}/{r.ids}") if depth >= 0 else (root, BELOW_CIRCLE, "")
-    return pd.DataFrame([(k, *x) for k, x in out.items()], columns=["id", "root_id", "depth", "path"])
-
-
-def _round(links: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
-    """One round: (records, links): rows (kind, v, p, ids, n, least, child); kind 0 raked, 1 spliced, 2 circle, 3 link."""
+def _round(links: DataFrame, i: int) -> tuple[DataFrame, DataFrame, int]:
+    """One round: (records, links, number of links left): rows (kind, v, p, ids, n, least, child); kind 0 raked, 1 spliced, 2 circle, 3 link."""
     children = links.groupBy(F.col("p").alias("v")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("child"))
     kind = F.when(F.col("m").isNull(), 0).when((F.col("m") == 1) & (_draw("v", i) < _draw("p", i)) & (_draw("v", i) < _draw("child", i)), 1).otherwise(3)
     marked = links.join(children, "v", "left").select("v", "p", "ids", "n", "least", "child", kind.alias("kind"))
@@ -74,15 +48,18 @@ def _round(links: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
     moved = (F.col("kind") == 3) & F.col("up").isNotNull()
     end = F.when(moved, F.col("up")).otherwise(F.col("p"))
     circle = (F.col("kind") == 3) & (end == F.col("v"))
+    left = Observation()
     rows = materialize(
-        marked.join(past, "p", "left").select(
+        marked.join(past, "p", "left")
+        .select(
             F.when(circle, 2).otherwise(F.col("kind")).alias("kind"), "v", end.alias("p"),
             F.when(circle, None).when(moved, F.concat_ws("/", "ids_up", "ids")).otherwise(F.col("ids")).alias("ids"),
             F.when(moved, F.col("n") + F.col("n_up")).otherwise(F.col("n")).alias("n"),
             F.when(moved, F.least("least", "least_up")).otherwise(F.col("least")).alias("least"), "child",
         )
+        .observe(left, F.count(F.when(F.col("kind") == 3, 1)).alias("n"))
     )
-    return rows, rows.filter("kind = 3").select("v", "p", "ids", "n", "least")
+    return rows, rows.filter("kind = 3").select("v", "p", "ids", "n", "least"), left.get["n"]
 
 
 def _resolve(record: DataFrame, known: DataFrame, spliced: bool) -> DataFrame:
@@ -98,7 +75,7 @@ def _resolve(record: DataFrame, known: DataFrame, spliced: bool) -> DataFrame:
     return record.select(F.col("v").alias("id"), "root_id", depth.cast("bigint").alias("depth"), path.alias("path"))
 
 
-def hierarchies(links: DataFrame, base_size: int = BASE) -> DataFrame:
+def hierarchies(links: DataFrame) -> DataFrame:
     """(id, root_id, depth, path) of each node with a link, from ``links`` (child bigint, parent bigint).
 
     On a circle: the least id of the circle, -1 and an empty path; below one: likewise, with depth -2.
@@ -108,21 +85,15 @@ def hierarchies(links: DataFrame, base_size: int = BASE) -> DataFrame:
     text = F.col("v").cast("string").alias("ids")
     loops = base.filter("v = p")
     active = base.filter("v <> p").select("v", "p", text, F.lit(1).cast("bigint").alias("n"), F.col("v").alias("least"))
-    rounds = []
-    while active.count() > base_size:
-        rows, active = _round(active, len(rounds))
+    rounds, left = [], active.count()
+    while left:
+        rows, active, left = _round(active, len(rounds))
         rounds.append(rows)
     tops = base.select("p").distinct().join(base.select(F.col("v").alias("p")), "p", "left_anti").select(F.col("p").alias("id"), F.col("p").alias("root_id"), F.lit(0).cast("bigint").alias("depth"), F.col("p").cast("string").alias("path"))
     circles = loops.select("v", F.col("v").alias("least"))
     for rows in rounds:
         circles = circles.unionAll(rows.filter("kind = 2").select("v", "least"))
-    last = active.join(circles.select(F.col("v").alias("p"), F.col("least").cast("string").alias("circle")), "p", "left").withColumn("one", F.lit(1))
-    last = last.groupBy("one").applyInPandas(follow, "id bigint, root_id bigint, depth bigint, path string")
-    done = [tops, circles.select("v", "least", F.lit(ON_CIRCLE).cast("bigint"), F.lit("")), last]
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionAll(x)
-    parts = [materialize(out)]
+    parts = [materialize(tops.unionAll(circles.select("v", "least", F.lit(ON_CIRCLE).cast("bigint"), F.lit(""))))]
     for rows in reversed(rounds):
         # a leaf may have been raked from a node that was spliced in the same round
         known = _union(parts)
