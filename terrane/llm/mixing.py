@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens that the dynamic programme fits at the end of a budget; its time and memory depend on nothing else.
+#: Tokens left for the dynamic programme at the end of a budget; its time and memory depend on nothing else. Where no
+#: free length is short enough to come down to it, no two of them fit any more, and the longest that does is the optimum.
 FIT = 1 << 14
 SEED = 17
-#: Bits of the seeded hash by which the documents of one length are ranked in parts.
-PART_BITS = 10
+#: Lengths of more documents are ranked in parts, by so many bits of the seeded hash.
+CROWD, PART_BITS = 1 << 14, 10
 
 
 def source_name(c):
@@ -33,7 +34,7 @@ def source_name(c):
 def fit(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     """Copies of each length so that they sum to at most ``budget``, as near to it as any choice comes.
 
-    Bounded subset sums over 0..budget: for each length the fewest copies that reach a sum, in numpy rows; a sum keeps
+    Bounded subset sums over all of 0..budget: for each length the fewest copies that reach a sum, in numpy rows; a sum keeps
     the length that first reached it, by which the choice is read back.
     """
     order = np.argsort(-lengths, kind="stable")
@@ -118,20 +119,21 @@ def plan(counted: DataFrame, targets: DataFrame, total: int | None = None) -> Da
     return lengths.join(chosen, ["source", "n_tokens"])
 
 
-def select(counted: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+def select(counted: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = SEED, crowd: int = CROWD) -> DataFrame:
     """(``id_col``, source, n_tokens, repeats) of the documents to use.
 
-    Ranks within a length are counted by parts of the seeded hash, so that a length that a third of all documents have
-    isn't sorted in one task.
+    A length of more than ``crowd`` documents is ranked in parts of the seeded hash, whose counts are added up, so that a
+    length that a third of all documents have isn't sorted in one task.
     """
     h = F.xxhash64(F.col(id_col), F.lit(seed))
-    rows = counted.filter("n_tokens > 0").select(id_col, "source", "n_tokens", h.alias("h"), F.shiftrightunsigned(h, 64 - PART_BITS).alias("part"))
-    parts = rows.groupBy("source", "n_tokens", "part").agg(F.count(F.lit(1)).alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("source", "n_tokens", "part", before.alias("before")).join(plan, ["source", "n_tokens"])
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("source", "n_tokens", "part").orderBy("h", id_col)) - 1
+    part = F.when(F.col("docs") > crowd, F.shiftright("h", 64 - PART_BITS)).otherwise(0).cast("bigint")
+    rows = counted.filter("n_tokens > 0").select(id_col, "source", "n_tokens", h.alias("h")).join(plan, ["source", "n_tokens"]).withColumn("part", part)
+    parts = rows.filter(F.col("docs") > crowd).groupBy("source", "n_tokens", "part").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy("source", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("source", "n_tokens", "part", before.alias("before"))
+    rank = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy("source", "n_tokens", "part").orderBy("h", id_col)) - 1
     each = F.floor(F.col("copies") / F.col("docs")) + (F.col("rank") < F.col("copies") % F.col("docs")).cast("bigint")
-    out = rows.join(parts, ["source", "n_tokens", "part"]).withColumn("rank", rank).withColumn("repeats", each.cast("int"))
+    out = rows.join(parts, ["source", "n_tokens", "part"], "left").withColumn("rank", rank).withColumn("repeats", each.cast("int"))
     return out.filter("repeats > 0").select(id_col, "source", "n_tokens", "repeats")
 
 
