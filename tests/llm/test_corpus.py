@@ -95,13 +95,13 @@ def test_ties_and_two_columns(spark):
 TAGS = "kind tinyint, id bigint, k string, v string, term string, h bigint"
 
 
-@pytest.mark.parametrize("max_rows", [1 << 20, 40])
-def test_term_counts(spark, max_rows):
+@pytest.mark.parametrize("max_bytes", [1 << 26, 1500])
+def test_term_counts(spark, max_bytes):
     """Small limits make the radix partitions split again, down to one term's rows by record."""
     rng = random.Random(2)
     rows = [(rng.randrange(3), rng.randrange(60), rng.choice(["hot"] * 5 + ["", "é", "b\x1fc", f"t{rng.randrange(40)}", None]), "v", "z", 1) for _ in range(1500)]
     rows += rows[:50] + [(None, 1, "hot", "v", "z", 1), (0, None, "hot", "v", "z", 1), (0, 999, None, "v", "z", 1)] + [(0, 5, "long" * 5000, "v", "z", 1)]
-    got = {r.term: (r.row_count, r.record_count) for r in termstats.term_counts(spark.createDataFrame(rows, TAGS), "k", ["kind", "id"], max_rows).collect()}
+    got = {r.term: (r.row_count, r.record_count) for r in termstats.term_counts(spark.createDataFrame(rows, TAGS), "k", ["kind", "id"], max_bytes).collect()}
     want = {}
     for kind, i, k, *_ in rows:
         if k is not None:
@@ -177,6 +177,14 @@ def test_mixing_to_a_total(spark):
     assert report["a"].tokens == 4500 and report["b"].tokens == 497
 
 
+def test_mixing_of_crowded_lengths(spark):
+    """Ranks by parts are the ranks of a whole length: how many bits part it changes nothing."""
+    counted = spark.createDataFrame([(i, "a", 5 if i % 3 else 7, "x") for i in range(2000)], "doc_id bigint, source string, n_tokens bigint, part string").drop("part")
+    plan = mixing.plan(counted, spark.createDataFrame([("a", 1.0, 2)], "source string, weight double, max_repeats int"), 4001)
+    take = lambda crowd: sorted(tuple(r) for r in mixing.select(counted, plan, crowd=crowd).collect())
+    assert take(100) == take(1 << 14) and sum(r[2] * r[3] for r in take(100)) == 4001
+
+
 def test_mixing_nothing(spark):
     assert mix(spark, [], [("a", 1.0, 1)])[0] == {}
     assert mix(spark, [(1, "a", 5)], [])[0] == {}
