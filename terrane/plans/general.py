@@ -48,7 +48,13 @@ def p5_found(spark, d):
     return proximity.pairs_within(versions.current(load(spark, d, "nodes"), ["lat", "lon"]), 10.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p2_found, p2_descendants, p4_found, p5_found)}
+def p5_regions(spark, d):
+    """The closed ways that hold each node, those on their edges included."""
+    nodes, ways = versions.current(load(spark, d, "nodes"), ["lat", "lon"]), versions.current(load(spark, d, "ways"), ["refs"])
+    return proximity.containing_regions(nodes, proximity.way_rings(ways, nodes)).select("id", F.col("region").alias("way_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_snapshots, p2_found, p2_descendants, p4_found, p5_found, p5_regions)}
 
 _CURRENT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST) AS rn FROM {t}) WHERE rn = 1 AND coalesce(visible, true)"""
 
@@ -70,7 +76,18 @@ walk AS (SELECT child AS v, parent AS w FROM rest UNION SELECT walk.v, rest.pare
 ring AS MATERIALIZED (SELECT DISTINCT v AS id FROM walk WHERE v = w),
 reach AS (SELECT v AS id, min(w) AS least FROM walk WHERE w IN (SELECT id FROM ring) GROUP BY v) """
 
+_P5R = f"""WITH n AS MATERIALIZED (SELECT id, lat, lon FROM ({_CURRENT.format(t="nodes")}) WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon) AND NOT (lat = 0 AND lon = 0)),
+w AS MATERIALIZED (SELECT id, refs FROM ({_CURRENT.format(t="ways")}) WHERE len(refs) >= 4 AND refs[1] = refs[len(refs)]),
+v AS (SELECT w.id AS way, pos, lat AS y, lon AS x, count(*) OVER (PARTITION BY w.id) AS m, size FROM (SELECT id, len(refs) AS size, unnest(refs) AS ref, generate_subscripts(refs, 1) AS pos FROM w) w JOIN n ON n.id = w.ref),
+u AS (SELECT way, pos, y, x + 360 * round((first_value(x) OVER (PARTITION BY way ORDER BY pos) - x) / 360) AS x, first_value(x) OVER (PARTITION BY way ORDER BY pos) AS rx FROM v WHERE m = size),
+e AS (SELECT * FROM (SELECT way, rx, x AS xa, y AS ya, lead(x) OVER (PARTITION BY way ORDER BY pos) AS xb, lead(y) OVER (PARTITION BY way ORDER BY pos) AS yb FROM u) WHERE xb IS NOT NULL),
+b AS MATERIALIZED (SELECT way, rx, CASE WHEN ya <= yb THEN xa ELSE xb END AS x0, CASE WHEN ya <= yb THEN xb ELSE xa END AS x1, least(ya, yb) AS y0, greatest(ya, yb) AS y1 FROM e),
+box AS MATERIALIZED (SELECT way, rx, min(y0) AS s, max(y1) AS n, min(least(x0, x1)) AS w, max(greatest(x0, x1)) AS e FROM b GROUP BY way, rx),
+c AS MATERIALIZED (SELECT n.id, box.way, lat AS py, lon + 360 * round((rx - lon) / 360) AS px FROM box JOIN n ON lat BETWEEN s AND n AND lon + 360 * round((rx - lon) / 360) BETWEEN w AND e),
+t AS (SELECT id, c.way, py, px, x0, x1, y0, y1, (px - x0) * (y1 - y0) - (x1 - x0) * (py - y0) AS turn FROM c JOIN b ON b.way = c.way) """
+
 SQL = {
+    "p5_regions": _P5R + "SELECT id, way AS way_id FROM t GROUP BY id, way HAVING count(CASE WHEN y0 <= py AND py < y1 AND turn < 0 THEN 1 END) % 2 = 1 OR bool_or(py BETWEEN y0 AND y1 AND px BETWEEN least(x0, x1) AND greatest(x0, x1) AND abs(turn) <= 1e-12)",
     "p1_found": _P1 + "SELECT kind, id, pos, ref FROM o",
     "p1_report": _P1 + "SELECT kind, type, strftime(ts, '%Y-%m') AS month, count(*) AS n_refs FROM o GROUP BY ALL",
     "p2_found": _P2 + """SELECT id, root_id, depth, path FROM up

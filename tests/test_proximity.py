@@ -49,6 +49,14 @@ def test_hot_cells_are_salted(spark):
     assert got == brute(rows, 10.0) and len(got) == 300 * 299 // 2
 
 
+def test_dense_cells_are_cut(spark):
+    rows = world()
+    rows += [(1000 + i, 48.1 + (i % 20) * 3e-5, 11.5 + (i // 20) * 5e-5) for i in range(200)]
+    for dense, hot in ((3, 4096), (3, 4), (40, 10)):
+        got = [tuple(r) for r in proximity.pairs_within(frame(spark, rows), 10.0, dense=dense, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 10.0)
+
+
 def test_no_points(spark):
     assert proximity.pairs_within(frame(spark, []), 10.0).count() == 0
 
@@ -92,3 +100,43 @@ def test_region_edges_holes_and_meridian(spark):
     assert got == {(1, 1), (3, 1), (4, 1), (5, 2), (6, 2), (8, 1), (9, 5)}
     got = {tuple(r) for r in proximity.containing_regions(frame(spark, points), t, boundary=False).collect()}
     assert got == {(1, 1), (5, 2), (6, 2)}
+
+
+def test_regions_on_the_grid_itself(spark):
+    """Vertices, edges and points on lines and corners of the grid; cells so small that most hold no edge, and crowded ones."""
+    rng = random.Random(4)
+    grid = lambda n: rng.randrange(-n, n + 1) / 16
+    rings = []
+    for r in range(12):
+        cy, cx = grid(16), grid(16)
+        angles = sorted(rng.uniform(0, 6.28) for _ in range(7))
+        rings.append((r, [v for v in [(cy + round(8 * math.sin(a) * rng.uniform(0.5, 1.5)) / 16, cx + round(8 * math.cos(a) * rng.uniform(0.5, 1.5)) / 16) for a in angles] if v != (0.0, 0.0)]))
+    rings += [(20, [(0.0, 0.5), (0.5, 1.0), (1.0, 0.5), (0.5, 0.0)]), (21, [(-0.25, -0.25), (-0.25, 1.0), (1.0, 1.0), (1.0, -0.25)]), (21, [(0.25, 0.25), (0.25, 0.75), (0.75, 0.75), (0.75, 0.25)])]
+    points = [(i, grid(32), grid(32)) for i in range(300)] + [(1000 + i, rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(200)]
+    points = [p for p in points if p[1:] != (0.0, 0.0)]
+    t = spark.createDataFrame(rings, "region int, ring array<struct<lat:double,lon:double>>")
+
+    def at_edge(p, ring):
+        return any(min(y0, y1) <= p[0] <= max(y0, y1) and min(x0, x1) <= p[1] <= max(x0, x1) and abs((p[1] - x0) * (y1 - y0) - (x1 - x0) * (p[0] - y0)) <= 1e-12 for (y0, x0), (y1, x1) in zip(ring, ring[1:] + ring[:1]))
+
+    odd, rim = {}, set()
+    for p in points:
+        for r, ring in rings:
+            odd[p[0], r] = odd.get((p[0], r), 0) ^ inside(p[1:], ring)
+            if at_edge(p[1:], ring):
+                rim.add((p[0], r))
+    for cell, hot in ((1 / 16, 4096), (1 / 64, 4096), (0.03, 5), (1.0, 20)):
+        got = [tuple(r) for r in proximity.containing_regions(frame(spark, points), t, cell, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == {x for x, n in odd.items() if n} | rim
+        assert {tuple(r) for r in proximity.containing_regions(frame(spark, points), t, cell, False, hot).collect()} == {x for x, n in odd.items() if n} - rim
+
+
+def test_a_region_of_many_edges_and_a_crowd_inside(spark):
+    """Points inside meet few edges, however many the region has."""
+    rng = random.Random(6)
+    n = 10_000
+    ring = [((2 + 0.1 * math.sin(40 * a)) * math.sin(a) + 10, (2 + 0.1 * math.sin(40 * a)) * math.cos(a) + 179) for a in (6.2831853 * i / n for i in range(n))]
+    t = spark.createDataFrame([(1, [(y, (x + 180) % 360 - 180) for y, x in ring])], "region int, ring array<struct<lat:double,lon:double>>")
+    points = [(i, 10 + rng.uniform(-2.5, 2.5), (179 + rng.uniform(-2.5, 2.5) + 180) % 360 - 180) for i in range(300)] + [(1000 + i, 10.0 + i * 1e-7, 179.0) for i in range(3000)]
+    want = {(i, 1) for i, y, x in points if i >= 1000 or inside((y, x if x > 0 else x + 360), ring)}
+    assert {tuple(r) for r in proximity.containing_regions(frame(spark, points), t, hot=500).collect()} == want
