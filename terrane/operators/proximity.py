@@ -29,6 +29,7 @@ from terrane.session import materialize, release
 RADIUS_M = 6_371_000.0
 CELL_M = 100.0
 DENSE, PARTS = 64, 4
+ACROSS = 16.0
 HOT = 4096
 
 
@@ -152,7 +153,7 @@ def containing_regions(points: DataFrame, rings: DataFrame, cell_deg: float = 0.
     """(id, region): each region that holds a point.
 
     A ring's cells are of ``cell_deg`` degrees times the least power of 4 by which about twice the root of its number of
-    edges go across it, so that the cells inside it, and the edges of one, are no more than its edges in order of size.
+    edges go across it, or ``ACROSS``, so that the cells inside it are no more than its edges in order of size, or 256.
 
     points: id, lat, lon. rings: region, ring (array of struct(lat, lon)), closed or not; several rings of one region
     (holes, parts) go by the even-odd rule. Successive vertices are joined the short way, so that rings may cross the
@@ -169,7 +170,7 @@ def containing_regions(points: DataFrame, rings: DataFrame, cell_deg: float = 0.
     rings = rings.withColumn("ring", F.transform("ring", lambda v: F.struct(v["lat"].alias("y"), (v["lon"] + 360.0 * F.round((c("rx") - v["lon"]) / 360.0)).alias("x"))))
     end = lambda f, a: f(F.transform("ring", lambda v: v[a]))
     extent = F.greatest(end(F.array_max, "x") - end(F.array_min, "x"), end(F.array_max, "y") - end(F.array_min, "y"))
-    size = F.greatest(extent / (2 * F.sqrt(F.size("ring").cast("double"))), F.lit(cell_deg))
+    size = F.greatest(extent / F.greatest(2 * F.sqrt(F.size("ring").cast("double")), F.lit(ACROSS)), F.lit(cell_deg))
     rings = materialize(rings.withColumn("level", F.ceil(F.log(size / cell_deg) / math.log(4) - 1e-9).cast("int")))
     levels = sorted(r["level"] for r in rings.select("level").distinct().collect())  # at most a dozen
     grid = Grid(F.lit(cell_deg) * F.pow(F.lit(4.0), c("level")))
