@@ -304,6 +304,11 @@ def kd_leaf_stats(spark, d):
     return spatial.leaf_stats(spatial.kd_tree(map_objects(spark, d), 0, KD_DEPTH)[0])
 
 
+def kd_levels(spark, d):
+    """The leaves again, with all levels split by histograms and no subtree built by a task."""
+    return spatial.leaf_stats(spatial.kd_tree(map_objects(spark, d), 0, KD_DEPTH, 0)[0])
+
+
 def kd_partition(spark, d):
     """Leaves of at most 10 000."""
     return spatial.leaf_stats(spatial.kd_tree(map_objects(spark, d), KD_LIMIT)[0])
@@ -339,7 +344,7 @@ QUERIES = {
         way_info, way_lookup, distinct_way_nodes, referenced_nodes, dangling_refs, max_vertex_jump, delta_encode, delta_decode, way_stats,
         way_len_hist, way_size_quantiles, sparse_index, relation_members, relation_node_members, relation_way_members, relation_bbox,
         relation_size_stats, relation_size_hist, role_dictionary, blob_index, phase_offsets, heat_map, map_objects, median_split, smallest_k,
-        kd_tree_level, kd_assign, kd_leaf_stats, kd_partition, varint_length, zigzag_codec, stream_tag_counts,
+        kd_tree_level, kd_assign, kd_leaf_stats, kd_levels, kd_partition, varint_length, zigzag_codec, stream_tag_counts,
     )
 }
 
@@ -386,16 +391,19 @@ def _postings_sql(by: str, distinct: bool, desc: bool) -> str:
 _HIGHWAY = "CASE highway " + " ".join(f"WHEN '{v}' THEN {c}" for v, c in tags.WAY_CLASSES.items()) + " END"
 
 
-def _kd_sql(select: str) -> str:
-    """Levels of the tree by row numbers."""
+def _kd_sql(select: str, depth: int = KD_DEPTH, limit: int = 0) -> str:
+    """Levels of the tree by row numbers; ``select`` reads the last one as ``last``."""
     parts = [_ALL, ", a0 AS (SELECT *, 1::BIGINT AS node FROM o)"]
-    for i in range(KD_DEPTH):
-        parts.append(f""", e{i} AS (SELECT node, count(*) AS m, max(mid_lat)::BIGINT - min(mid_lat) >= max(mid_lon)::BIGINT - min(mid_lon) AS by_lat FROM a{i} GROUP BY node),
-c{i} AS (SELECT a.*, e.m, e.by_lat, CASE WHEN e.by_lat THEN mid_lat ELSE mid_lon END AS c FROM a{i} a JOIN e{i} e USING (node)),
-d{i} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c, kind, id) - 1 AS rn FROM c{i}),
-v{i} AS MATERIALIZED (SELECT node, by_lat, c AS split_value FROM d{i} WHERE rn = m // 2),
-a{i + 1} AS MATERIALIZED (SELECT c.kind, c.id, c.mid_lat, c.mid_lon, c.weight, 2 * node + (c.c >= v.split_value)::BIGINT AS node FROM c{i} c JOIN v{i} v USING (node))""")
-    return "".join(parts) + " " + select
+    for i in range(depth):
+        parts.append(f""", e{i} AS (SELECT * FROM (SELECT node, count(*) AS m, sum(weight) AS w, max(mid_lat)::BIGINT - min(mid_lat) AS tall, max(mid_lon)::BIGINT - min(mid_lon) AS wide FROM a{i} GROUP BY node) WHERE m > 1 AND w > {limit} AND (tall > 0 OR wide > 0)),
+c{i} AS (SELECT a.*, e.m, e.tall >= e.wide AS by_lat, CASE WHEN e.tall >= e.wide THEN mid_lat ELSE mid_lon END AS c FROM a{i} a JOIN e{i} e USING (node)),
+d{i} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c, kind, id) - 1 AS rn, min(c) OVER (PARTITION BY node) AS least FROM c{i}),
+v{i} AS MATERIALIZED (SELECT node, by_lat, coalesce(max(CASE WHEN rn = m // 2 AND c > least THEN c END), min(CASE WHEN c > least THEN c END)) AS split_value FROM d{i} GROUP BY node, by_lat),
+a{i + 1} AS MATERIALIZED (SELECT a.kind, a.id, a.mid_lat, a.mid_lon, a.weight, CASE WHEN v.node IS NULL THEN a.node ELSE 2 * a.node + (CASE WHEN v.by_lat THEN a.mid_lat ELSE a.mid_lon END >= v.split_value)::BIGINT END AS node FROM a{i} a LEFT JOIN v{i} v ON v.node = a.node)""")
+    return "".join(parts) + f", last AS (SELECT * FROM a{depth}) " + select
+
+
+_LEAVES = "SELECT node AS leaf, count(*) AS items, sum(weight)::BIGINT AS weight, min(mid_lat) AS min_lat, max(mid_lat) AS max_lat, min(mid_lon) AS min_lon, max(mid_lon) AS max_lon FROM last GROUP BY node"
 
 
 _LEN = "l AS (SELECT way_id, count(*) AS n_nodes FROM wr GROUP BY way_id) "
@@ -460,8 +468,10 @@ SQL = {
     "median_split": _ALL + ", q AS (SELECT mid_lat, row_number() OVER (ORDER BY mid_lat) - 1 AS rn, count(*) OVER () AS m FROM o), v AS (SELECT mid_lat AS split_value FROM q WHERE rn = m // 2) SELECT split_value, (SELECT count(*) FROM o WHERE o.mid_lat < split_value) AS below, (SELECT count(*) FROM o) AS items FROM v",
     "smallest_k": _N + f"SELECT id, morton FROM ({_morton_sql()}) ORDER BY morton < 0, morton, id LIMIT 100",
     "kd_tree_level": _kd_sql("SELECT node AS node_id, by_lat, split_value FROM v0"),
-    "kd_assign": _kd_sql(f"SELECT kind, id, node AS leaf FROM a{KD_DEPTH}"),
-    "kd_leaf_stats": _kd_sql(f"SELECT node AS leaf, count(*) AS items, sum(weight)::BIGINT AS weight, min(mid_lat) AS min_lat, max(mid_lat) AS max_lat, min(mid_lon) AS min_lon, max(mid_lon) AS max_lon FROM a{KD_DEPTH} GROUP BY node"),
+    "kd_assign": _kd_sql("SELECT kind, id, node AS leaf FROM last"),
+    "kd_leaf_stats": _kd_sql(_LEAVES),
+    "kd_levels": _kd_sql(_LEAVES),
+    "kd_partition": _kd_sql(_LEAVES, 10, KD_LIMIT),
     "stream_tag_counts": f"WITH {_KC} SELECT * FROM c",
     "varint_length": f"WITH {_W}, {_DELTA}, z AS (SELECT way_id, pos, {_ZZ.format(c='delta')} AS code FROM e) SELECT way_id, pos, CASE WHEN code = 0 THEN 1 ELSE floor(log2(code::DOUBLE) / 7)::INT + 1 END AS n_bytes FROM z",
     "zigzag_codec": _N + ", " + _W + _G + f", j AS (SELECT way_id, pos, lat::BIGINT - lag(lat::BIGINT, 1, 0) OVER (PARTITION BY way_id ORDER BY pos) AS delta FROM g) SELECT way_id, pos, delta, {_ZZ.format(c='delta')} AS code, delta AS back FROM j",

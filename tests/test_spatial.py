@@ -17,7 +17,10 @@ def test_partition_is_whole_and_routed(spark):
     rng = random.Random(1)
     rows = [(0, i, rng.randrange(-(2**31) + 1, 2**31), rng.randrange(-(2**31) + 1, 2**31), rng.randint(1, 5)) for i in range(500)]
     o = objects(spark, rows)
+    by_level, levels = spatial.kd_tree(o, 60, finish=0)
+    mixed, both = spatial.kd_tree(o, 60, finish=130)
     assigned, tree = spatial.kd_tree(o, 60)
+    assert sorted(by_level.collect()) == sorted(assigned.collect()) == sorted(mixed.collect()) and sorted(levels.collect()) == sorted(tree.collect()) == sorted(both.collect())
     got = {(r.kind, r.id): r.node_id for r in assigned.collect()}
     assert len(got) == 500
     splits = {r.node_id: r for r in tree.collect()}
@@ -36,6 +39,7 @@ def test_ties_and_single_objects(spark):
     assigned, _ = spatial.kd_tree(objects(spark, rows), 4)
     s = {(r.items, r.weight) for r in spatial.leaf_stats(assigned).collect()}
     assert s == {(20, 20), (1, 1), (1, 1000)}
+    assert sorted(assigned.collect()) == sorted(spatial.kd_tree(objects(spark, rows), 4, finish=2)[0].collect())
 
 
 def test_no_objects(spark):
