@@ -8,7 +8,7 @@ highest version with its status; those with a status are the pending orphans). A
 * probes the parents with the new references,
 * and lets its changed parents meet the waiting references: an arrival resolves them, a deletion reopens them.
 
-References that none of this touches keep their status unread. Every step is a join on a key that spreads evenly or a
+References that none of this touches keep their status, though a batch reads and writes the state whole. Every step is a join on a key that spreads evenly or a
 hash aggregate, so it runs on any number of tasks; a target that a third of all references name is split by the join
 (adaptive skew handling splits the references, the parent's side has one row a key).
 
@@ -134,8 +134,13 @@ def batches(tables: dict[int, DataFrame], n: int) -> list[dict[int, DataFrame]]:
     if lo is None:
         return [tables]
     cuts = [lo + (hi + 1 - lo) * i // n for i in range(n + 1)]
-    at = F.unix_micros("loaded_at")
-    span = lambda i: (at >= cuts[i]) & (at < cuts[i + 1]) | (at.isNull() if i == 0 else F.lit(False))
+    at = F.col("loaded_at")
+    when = lambda i: F.timestamp_micros(F.lit(cuts[i]))  # noqa: E731  # folded to a literal, which the scan can skip row groups by
+
+    def span(i: int) -> Column:
+        within = (at >= when(i)) & (at < when(i + 1))
+        return within | at.isNull() if i == 0 else within
+
     return [{k: df.filter(span(i)) for k, df in tables.items()} for i in range(n)]
 
 

@@ -107,7 +107,7 @@ def kd_tree(objects: DataFrame, limit: int, depth: int = MAX_DEPTH, finish: int
             moved = materialize(rows)
             release(base)
             base = rows = moved
-    rows = rows.select(*base.columns)
+    rows = rows.select(*objects.columns, "node_id")
     if not finish:
         return rows, tree
     small = materialize(_extents(rows).filter(F.col("items") <= finish).select("node_id"))

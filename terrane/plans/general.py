@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrane.operators import hierarchy, multivalue, orphans, proximity, versions
 from terrane.session import load, materialize
 
-ORPHAN_BATCHES = 2
+ORPHAN_BATCHES, SNAPSHOTS = 2, 4
 
 
 def _elements(spark, d):
@@ -25,7 +25,7 @@ def p1_report(spark, d):
 def p1_snapshots(spark, d):
     """The report after each batch: how many references were orphans by then."""
     taken = []
-    orphans.replay(_elements(spark, d), 4, lambda i, state: taken.append(materialize(orphans.report(state).select(F.lit(i).alias("snapshot"), "*"))))
+    orphans.replay(_elements(spark, d), SNAPSHOTS, lambda i, state: taken.append(materialize(orphans.report(state).select(F.lit(i).alias("snapshot"), "*"))))
     out = taken[0]
     for x in taken[1:]:
         out = out.unionAll(x)
@@ -86,7 +86,24 @@ box AS MATERIALIZED (SELECT way, rx, min(y0) AS s, max(y1) AS n, min(least(x0, x
 c AS MATERIALIZED (SELECT n.id, box.way, lat AS py, lon + 360 * round((rx - lon) / 360) AS px FROM box JOIN n ON lat BETWEEN s AND n AND lon + 360 * round((rx - lon) / 360) BETWEEN w AND e),
 t AS (SELECT id, c.way, py, px, x0, x1, y0, y1, (px - x0) * (y1 - y0) - (x1 - x0) * (py - y0) AS turn FROM c JOIN b ON b.way = c.way) """
 
+def _snapshots_sql() -> str:
+    """The report over the rows that had arrived by the end of each span."""
+    ends = "b AS MATERIALIZED (SELECT min(epoch_us(loaded_at)) AS lo, max(epoch_us(loaded_at)) AS hi FROM (SELECT loaded_at FROM nodes UNION ALL SELECT loaded_at FROM ways UNION ALL SELECT loaded_at FROM relations))"
+    parts = [f"WITH {ends}"]
+    for i in range(SNAPSHOTS):
+        by = f"loaded_at IS NULL OR epoch_us(loaded_at) < (SELECT lo + (hi + 1 - lo) * {i + 1} // {SNAPSHOTS} FROM b)"
+        parts += [f"{t}{i} AS MATERIALIZED (SELECT * FROM {t} WHERE {by})" for t in ("nodes", "ways", "relations")]
+    one = []
+    for i in range(SNAPSHOTS):
+        sql = _P1
+        for t in ("nodes", "ways", "relations"):
+            sql = sql.replace(f"FROM {t}", f"FROM {t}{i}")
+        one.append(f"SELECT {i} AS snapshot, * FROM ({sql} SELECT kind, type, strftime(ts, '%Y-%m') AS month, count(*) AS n_refs FROM o GROUP BY ALL)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(one)
+
+
 SQL = {
+    "p1_snapshots": _snapshots_sql(),
     "p5_regions": _P5R + "SELECT id, way AS way_id FROM t GROUP BY id, way HAVING count(CASE WHEN y0 <= py AND py < y1 AND turn < 0 THEN 1 END) % 2 = 1 OR bool_or(py BETWEEN y0 AND y1 AND px BETWEEN least(x0, x1) AND greatest(x0, x1) AND abs(turn) <= 1e-12)",
     "p1_found": _P1 + "SELECT kind, id, pos, ref FROM o",
     "p1_report": _P1 + "SELECT kind, type, strftime(ts, '%Y-%m') AS month, count(*) AS n_refs FROM o GROUP BY ALL",
