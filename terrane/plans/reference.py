@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.operators import elements, spatial, tags
 from terrane.operators.ranking import ranked
-from terrane.session import load, materialize
+from terrane.session import load, materialize, shared_table
 
 CODES = tags.Codes(
     node={("crossing", "uncontrolled"): 1, ("crossing", "marked"): 2},
@@ -335,6 +335,47 @@ def stream_tag_counts(spark, d):
     return run_once(tag_counts(stream_table(spark, f"{d}/tags.parquet")))
 
 
+def _extract(spark, d, kind: int):
+    """The live elements of one kind with their tags, written as an extract into the shared folder and read back by its source."""
+    from terrane.sources.pbf import encode, register
+
+    none = lambda *names: [F.lit(None).cast(dict(x.split(" ", 1) for x in encode.SCHEMA.split(", "))[n]).alias(n) for n in names]
+    own = load(spark, d, ("nodes", "ways", "relations")[kind])
+    if kind == encode.NODE:
+        rows = elements.nodes(own).filter(geo.valid(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", *none("refs", "members"))
+    elif kind == encode.WAY:
+        rows = elements.ways(own).select("id", *none("lat", "lon"), F.filter("refs", lambda r: r.isNotNull()).alias("refs"), *none("members"))
+    else:
+        held = F.filter("members", lambda m: m["type"].isNotNull() & m["ref"].isNotNull())
+        member = F.transform(held, lambda m: F.struct(m["type"].cast("tinyint").alias("type"), m["ref"].alias("ref"), F.coalesce(m["role"], F.lit("")).alias("role")))
+        rows = elements.relations(own).select("id", *none("lat", "lon", "refs"), member.alias("members"))
+    found = load(spark, d, "tags").filter((F.col("kind") == kind) & F.col("k").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.collect_list(F.struct("k", "v")).alias("tags"))
+    at = shared_table(spark)
+    encode.write_extract(rows.join(found, "id", "left").withColumn("kind", F.lit(kind)), at)
+    register(spark)
+    return spark.read.format("osmpbf").option("entity", ("node", "way", "relation")[kind]).load(at)
+
+
+def extract_nodes(spark, d):
+    """Nodes through an extract, in its units of 1e-7 degrees."""
+    unit = lambda c: F.floor(F.col(c) * 1e7 + 0.5).alias(f"{c}_e7")
+    return _extract(spark, d, 0).select("id", unit("lat"), unit("lon"))
+
+
+def extract_ways(spark, d):
+    return _extract(spark, d, 1).select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
+
+
+def extract_relations(spark, d):
+    m = _extract(spark, d, 2).select(F.col("id").alias("rel_id"), F.posexplode("members").alias("pos", "m"))
+    return m.select("rel_id", "pos", F.col("m.type").cast("int").alias("type"), F.col("m.ref").alias("ref"), F.col("m.role").alias("role"))
+
+
+def extract_tags(spark, d):
+    """The tags of ways through an extract."""
+    return _extract(spark, d, 1).select("id", F.inline("tags").alias("k", "v"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -345,6 +386,7 @@ QUERIES = {
         way_len_hist, way_size_quantiles, sparse_index, relation_members, relation_node_members, relation_way_members, relation_bbox,
         relation_size_stats, relation_size_hist, role_dictionary, blob_index, phase_offsets, heat_map, map_objects, median_split, smallest_k,
         kd_tree_level, kd_assign, kd_leaf_stats, kd_levels, kd_partition, varint_length, zigzag_codec, stream_tag_counts,
+        extract_nodes, extract_ways, extract_relations, extract_tags,
     )
 }
 
@@ -415,6 +457,10 @@ _BLOB = "b AS (SELECT kind * 1099511627776 + floor(id / 8000)::BIGINT AS blob_no
 _MEMBERS = _GEO + ", " + _R + _M + "SELECT rel_id, pos, type, ref, role, mid_lat, mid_lon FROM rr"
 
 SQL = {
+    "extract_nodes": f"SELECT id, floor(lat * 1e7::DOUBLE + 0.5::DOUBLE)::BIGINT AS lat_e7, floor(lon * 1e7::DOUBLE + 0.5::DOUBLE)::BIGINT AS lon_e7 FROM ({_NOW.format(t='nodes')}) WHERE {_VALID}",
+    "extract_ways": f"SELECT way_id, pos, node_id FROM (SELECT id AS way_id, unnest(r) AS node_id, generate_subscripts(r, 1) - 1 AS pos FROM (SELECT id, list_filter(refs, lambda x: x IS NOT NULL) AS r FROM ({_NOW.format(t='ways')})))",
+    "extract_relations": f"SELECT rel_id, pos, m.type::INT AS type, m.ref AS ref, coalesce(m.role, '') AS role FROM (SELECT id AS rel_id, unnest(r) AS m, generate_subscripts(r, 1) - 1 AS pos FROM (SELECT id, list_filter(members, lambda x: x.type IS NOT NULL AND x.ref IS NOT NULL) AS r FROM ({_NOW.format(t='relations')})))",
+    "extract_tags": f"SELECT t.id, k, v FROM tags t JOIN ({_NOW.format(t='ways')}) w ON w.id = t.id WHERE t.kind = 1 AND k IS NOT NULL AND v IS NOT NULL",
     "node_scan": f"SELECT id, CASE WHEN NOT isnan(lat) THEN lat END AS lat, CASE WHEN NOT isnan(lon) THEN lon END AS lon FROM ({_NOW.format(t='nodes')})",
     "way_scan": "WITH " + _W + "SELECT * FROM wr",
     "relation_scan": "WITH " + _R + "SELECT * FROM rm",

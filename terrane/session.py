@@ -36,11 +36,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark, "_terrane_shared", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="terrane-shared-")
@@ -64,15 +66,21 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     removed by :func:`release`, or when the driver ends.
     """
     spark = df.sparkSession
-    url = f"{shared_dir(spark)}/terrane-{uuid.uuid4().hex}"
+    url = shared_table(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(url)
-    _WRITTEN[url] = (spark, url)
     out = spark.read.schema(df.schema).parquet(url) if not partition_by else spark.read.parquet(url)
     out._terrane_url = url
     return out
 
 
+def shared_table(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    url = f"{shared_dir(spark)}/terrane-{uuid.uuid4().hex}"
+    _WRITTEN[url] = (spark, url)
+    return url
+
+
 def together(dfs: list[DataFrame]) -> DataFrame:
     """Tables of one schema, each written by :func:`materialize`, read by one scan."""
     spark = dfs[0].sparkSession

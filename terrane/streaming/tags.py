@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.session import shared_dir
+from terrane.session import shared_table
 
 
 def stream_table(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -30,7 +29,7 @@ def tag_counts(stream: DataFrame) -> DataFrame:
 def run_once(counts: DataFrame) -> DataFrame:
     """Runs a stream of complete results over all that has arrived and returns the last result as a table."""
     spark = counts.sparkSession
-    at = f"{shared_dir(spark)}/terrane-stream-{uuid.uuid4().hex}"
+    at = shared_table(spark)
     spark_out = f"{at}/out"
 
     def keep(batch: DataFrame, n: int) -> None:
