@@ -12,11 +12,13 @@ from terrane.operators.ranking import ranked
 
 #: Ids of one posting block: 2 ** BLOCK_BITS packed references.
 BLOCK_BITS = 18
+#: Codes of one dictionary that are tested one by one; a longer one is a table, joined by its measured size.
+LITERALS = 64
 
 
 @dataclass(frozen=True)
 class Codes:
-    """Dictionaries of the tag encoding: small, and written into the plan as literals."""
+    """Dictionaries of the tag encoding: up to ``LITERALS`` codes are written into the plan, more are joined as a table."""
 
     node: dict[tuple[str, str], int] = field(default_factory=dict)
     way: dict[tuple[str, str], int] = field(default_factory=dict)
@@ -35,31 +37,40 @@ class Codes:
         return cls(pairs("NodeTagCodes"), pairs("WayTagCodes"), pairs("TagCodes"), s.get("KeyCodes", {}), tuple(s.get("KeyStopList", [])))
 
 
-def _lookup(codes: dict[tuple[str, str], int]) -> Column:
-    if not codes:
-        return F.lit(None).cast("int")
-    out = None
-    for (k, v), code in codes.items():
-        hit = (F.col("k") == k) & (F.col("v") == v)
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    return out
+def _with_code(rows: DataFrame, codes: dict[tuple, int], by: list[str], name: str, literals: int) -> DataFrame:
+    """``rows`` with the code ``name`` of the columns ``by``, or null."""
+    if len(codes) > literals:
+        kinds = ", ".join(f"{c} string" for c in by)
+        table = rows.sparkSession.createDataFrame([(*key, code) for key, code in codes.items()], f"{kinds}, {name} int")
+        return rows.join(table, by, "left")
+    out = F.lit(None).cast("int")
+    for key, code in reversed(codes.items()):
+        hit = F.lit(True)
+        for c, x in zip(by, key):
+            hit = hit & (F.col(c) == x)
+        out = F.when(hit, code).otherwise(out)
+    return rows.withColumn(name, out)
 
 
 def without_stop_keys(tags: DataFrame, stop: tuple[str, ...]) -> DataFrame:
     return tags.filter(F.col("k").isNotNull() & ~F.col("k").isin(*stop)) if stop else tags.filter(F.col("k").isNotNull())
 
 
-def encode(tags: DataFrame, codes: Codes, scope: str = "common") -> DataFrame:
+def encode(tags: DataFrame, codes: Codes, scope: str = "common", literals: int = LITERALS) -> DataFrame:
     """(kind, id, tag_id, key_id, value): a code of the whole tag, else of its key with the value kept, else no row."""
-    rows = without_stop_keys(tags, codes.stop)
-    own = {"node": codes.node, "way": codes.way, "common": {}}[scope]
-    tag_id = F.coalesce(_lookup(own), _lookup(codes.common))
-    key_id = None
-    for k, code in codes.keys.items():
-        key_id = F.when(F.col("k") == k, code) if key_id is None else key_id.when(F.col("k") == k, code)
-    rows = rows.withColumn("tag_id", tag_id).withColumn("key_id", F.when(F.col("tag_id").isNull(), key_id))
-    rows = rows.filter(F.col("tag_id").isNotNull() | F.col("key_id").isNotNull())
-    return rows.select(F.col("kind").cast("int").alias("kind"), "id", "tag_id", "key_id", F.when(F.col("key_id").isNotNull(), F.col("v")).alias("value"))
+    rows = without_stop_keys(tags, codes.stop).select(F.col("kind").cast("int").alias("kind"), "id", "k", "v")
+    rows = _with_code(rows, {"node": codes.node, "way": codes.way, "common": {}}[scope], ["k", "v"], "own_code", literals)
+    rows = _with_code(rows, codes.common, ["k", "v"], "common_code", literals)
+    rows = _with_code(rows, {(k,): code for k, code in codes.keys.items()}, ["k"], "key_code", literals)
+    rows = rows.withColumn("tag_id", F.coalesce("own_code", "common_code"))
+    rows = rows.withColumn("key_id", F.when(F.col("tag_id").isNull(), F.col("key_code"))).filter(F.col("tag_id").isNotNull() | F.col("key_id").isNotNull())
+    return rows.select("kind", "id", "tag_id", "key_id", F.when(F.col("key_id").isNotNull(), F.col("v")).alias("value"))
+
+
+def surrogate_ids(tags: DataFrame, column: str, name: str) -> DataFrame:
+    """(``column``, ``name``): a number from 0 for each distinct value, in order of the values; nulls have none."""
+    values = tags.filter(F.col(column).isNotNull()).select(column).distinct()
+    return ranked(values, F.substring(column, 1, 4), [column], name=name).select(column, name)
 
 
 def checked(encoded: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def join(t: Tables, out: str, codes: tags.Codes = tags.Codes(), limit: int = 10_
     geometry = elements.way_geometry(t["ways"], t["nodes"])
     sinks.write_by_id(geometry.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", "lat", "lon"))).alias("nodes")), f"{out}/way_geom", "way_id")
     sinks.write_by_id(elements.way_info(t["ways"], t["nodes"]).join(tags.way_class(elements.ways(t["ways"]).select("id"), t["tags"]), "way_id"), f"{out}/way_info", "way_id")
-    sinks.write(tags.encode(t["tags"].filter("kind = 0"), codes, "node").unionByName(tags.encode(t["tags"].filter("kind = 1"), codes, "way")), f"{out}/tags", ["kind"])
+    sinks.write(tags.checked(tags.encode(t["tags"].filter("kind = 0"), codes, "node").unionByName(tags.encode(t["tags"].filter("kind = 1"), codes, "way"))), f"{out}/tags", ["kind"])
     rows, tree = spatial.kd_tree(elements.map_objects(t["nodes"], t["ways"], t["relations"]), limit)
     sinks.write_leaves(rows, f"{out}/leaves")
     sinks.write(tree, f"{out}/kd_split")
@@ -65,6 +65,8 @@ def heat_map(t: Tables, out: str) -> None:
 
 @action("tags")
 def postings(t: Tables, out: str) -> None:
+    sinks.write(tags.surrogate_ids(t["tags"], "k", "key_id"), f"{out}/keys")
+    sinks.write(tags.surrogate_ids(t["tags"], "v", "value_id"), f"{out}/values")
     sinks.write(tags.postings(t["tags"], ["k"], True, True), f"{out}/key_postings")
     sinks.write(tags.postings(t["tags"], ["v"], False, False), f"{out}/value_postings")
     sinks.write(tags.postings(t["tags"], ["k", "v"], False, False), f"{out}/key_value_postings")

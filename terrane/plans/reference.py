@@ -86,6 +86,19 @@ def encode_common_tags(spark, d):
     return tags.encode(load(spark, d, "tags"), CODES)
 
 
+def encode_checked(spark, d):
+    """The encoded tags of nodes, by code tables that are joined, with each row's shape checked."""
+    return tags.checked(tags.encode(load(spark, d, "tags").filter("kind = 0"), CODES, "node", literals=0))
+
+
+def key_ids(spark, d):
+    return tags.surrogate_ids(load(spark, d, "tags"), "k", "key_id")
+
+
+def value_ids(spark, d):
+    return tags.surrogate_ids(load(spark, d, "tags"), "v", "value_id")
+
+
 def tag_stoplist(spark, d):
     return tags.without_stop_keys(load(spark, d, "tags"), CODES.stop).select(F.col("kind").cast("int").alias("kind"), "id", "k", "v")
 
@@ -194,14 +207,18 @@ def delta_decode(spark, d):
     return e.select("way_id", "pos", F.sum(geo.unzigzag(F.col("code"))).over(w).cast("bigint").alias("node_id"))
 
 
+def _way_lengths(spark, d):
+    """References of each live way that has any."""
+    n = F.size(F.filter("refs", lambda r: r.isNotNull())).cast("bigint").alias("n_nodes")
+    return elements.ways(load(spark, d, "ways")).select(n).filter("n_nodes > 0")
+
+
 def way_stats(spark, d):
-    s = elements.way_refs(load(spark, d, "ways")).groupBy("way_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.agg(F.count(F.lit(1)).alias("n_ways"), F.max("n").alias("max_nodes"), F.avg("n").alias("mean_nodes"))
+    return _way_lengths(spark, d).agg(F.count(F.lit(1)).alias("n_ways"), F.max("n_nodes").alias("max_nodes"), F.avg("n_nodes").alias("mean_nodes"))
 
 
 def way_len_hist(spark, d):
-    s = elements.way_refs(load(spark, d, "ways")).groupBy("way_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return s.filter("n_nodes < 80").groupBy("n_nodes").agg(F.count(F.lit(1)).alias("cnt"))
+    return _way_lengths(spark, d).filter("n_nodes < 80").groupBy("n_nodes").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _box_sizes(spark, d):
@@ -386,7 +403,7 @@ QUERIES = {
         way_len_hist, way_size_quantiles, sparse_index, relation_members, relation_node_members, relation_way_members, relation_bbox,
         relation_size_stats, relation_size_hist, role_dictionary, blob_index, phase_offsets, heat_map, map_objects, median_split, smallest_k,
         kd_tree_level, kd_assign, kd_leaf_stats, kd_levels, kd_partition, varint_length, zigzag_codec, stream_tag_counts,
-        extract_nodes, extract_ways, extract_relations, extract_tags,
+        encode_checked, key_ids, value_ids, extract_nodes, extract_ways, extract_relations, extract_tags,
     )
 }
 
@@ -472,6 +489,9 @@ SQL = {
     "bbox_contains": _GEO + "SELECT way_id, count(CASE WHEN lat > min_lat AND lat <= max_lat AND lon > min_lon AND lon <= max_lon THEN 1 END) AS n_inside FROM g JOIN s USING (way_id) GROUP BY way_id",
     "way_class": f"WITH {_W}, t AS (SELECT id, min(CASE WHEN lower(k) = 'highway' THEN lower(coalesce(v, '')) END) AS highway, max(CASE WHEN lower(k) = 'building' THEN 1 END) AS building FROM tags WHERE kind = 1 GROUP BY id) SELECT w.id AS way_id, CASE WHEN highway IS NOT NULL THEN coalesce({_HIGHWAY}, 2) WHEN building = 1 THEN 100 ELSE 1 END AS way_type FROM w LEFT JOIN t ON t.id = w.id",
     "encode_node_tags": _encode_sql(CODES.node, "kind = 0"),
+    "encode_checked": _encode_sql(CODES.node, "kind = 0"),
+    "key_ids": "SELECT k, row_number() OVER (ORDER BY k) - 1 AS key_id FROM (SELECT DISTINCT k FROM tags WHERE k IS NOT NULL)",
+    "value_ids": "SELECT v, row_number() OVER (ORDER BY v) - 1 AS value_id FROM (SELECT DISTINCT v FROM tags WHERE v IS NOT NULL)",
     "encode_way_tags": _encode_sql(CODES.way, "kind = 1"),
     "encode_common_tags": _encode_sql({}, "true"),
     "tag_stoplist": "SELECT kind::INT AS kind, id, k, v FROM tags WHERE k NOT IN ('name', 'source')",
